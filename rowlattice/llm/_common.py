@@ -54,3 +54,15 @@ def attach_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str
     both = first.join(small, [F.col("__deal") == F.col("__deal2"), F.col("__large").isNull(), *on], "left")
     out = [F.coalesce(F.col(f"__w{i}"), F.col(f"__v{i}")).alias(c) for i, c in enumerate(more)]
     return both.select(*[rows_c for rows_c in rows.columns], *out)
+
+
+def local_rows(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
+    """A small table from the driver, made in the JVM from one JSON literal."""
+    import json
+
+    return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{ddl}>>")))
+
+
+def small_side(df: DataFrame, n_rows: int, most: int = 100_000) -> DataFrame:
+    """df to be broadcast if it is known to have `most` rows at most; else Spark joins it as it does any table."""
+    return F.broadcast(df) if n_rows <= most else df

@@ -1,9 +1,11 @@
 """The queries of the corpus operators, and SQL for those that SQL can express."""
 
-from rowlattice.llm import exact_dedup, packing
+from rowlattice.llm import exact_dedup, mixing, packing, sharding
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
+    "op5_feistel_sharding": sharding.op5,
+    "op7_entropy_mixing": mixing.op7,
     "op9_exact_dedup": exact_dedup.op9,
 }
 SQL = {
