@@ -1,10 +1,12 @@
 """The queries of the corpus operators, and SQL for those that SQL can express."""
 
-from rowlattice.llm import exact_dedup, mixing, packing, sharding
+from rowlattice.llm import exact_dedup, mixing, packing, pii, secrets, sharding
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
+    "op3_secret_scan": secrets.op3,
     "op5_feistel_sharding": sharding.op5,
+    "op6_pii_contexts": pii.op6,
     "op7_entropy_mixing": mixing.op7,
     "op9_exact_dedup": exact_dedup.op9,
 }
