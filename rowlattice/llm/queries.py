@@ -1,6 +1,6 @@
 """The queries of the corpus operators, and SQL for those that SQL can express."""
 
-from rowlattice.llm import exact_dedup, mixing, packing, pii, secrets, sharding
+from rowlattice.llm import exact_dedup, mixing, packing, pii, quality, secrets, sharding
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
@@ -8,6 +8,7 @@ QUERIES = {
     "op5_feistel_sharding": sharding.op5,
     "op6_pii_contexts": pii.op6,
     "op7_entropy_mixing": mixing.op7,
+    "op8_mcd_quality": quality.op8,
     "op9_exact_dedup": exact_dedup.op9,
 }
 SQL = {
