@@ -1,10 +1,11 @@
 """The queries of the corpus operators, and SQL for those that SQL can express."""
 
-from rowlattice.llm import exact_dedup, mixing, packing, pii, quality, secrets, sharding
+from rowlattice.llm import exact_dedup, mixing, packing, pii, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
     "op3_secret_scan": secrets.op3,
+    "op4_toxicity": toxicity.op4,
     "op5_feistel_sharding": sharding.op5,
     "op6_pii_contexts": pii.op6,
     "op7_entropy_mixing": mixing.op7,
