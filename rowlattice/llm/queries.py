@@ -1,6 +1,6 @@
 """The queries of the corpus operators, and SQL for those that SQL can express."""
 
-from rowlattice.llm import exact_dedup, mixing, packing, pii, quality, secrets, sharding, toxicity
+from rowlattice.llm import exact_dedup, jaccard, mixing, packing, pii, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
@@ -11,7 +11,9 @@ QUERIES = {
     "op7_entropy_mixing": mixing.op7,
     "op8_mcd_quality": quality.op8,
     "op9_exact_dedup": exact_dedup.op9,
+    "op10_jaccard_join": jaccard.op10,
 }
 SQL = {
     "op9_exact_dedup": exact_dedup.OP9_SQL,
+    "op10_jaccard_join": jaccard.OP10_SQL,
 }
