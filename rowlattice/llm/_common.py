@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -16,20 +16,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from the files.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, or the one set since. Only a local session may lack it; it then gets a temporary folder."""
+    sc = spark.sparkContext
+    now = sc._jsc.sc().getCheckpointDir()
+    if now.isDefined():
+        return now.get()
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="rowlattice-checkpoint-")
+    sc.setCheckpointDir(where)
+    return sc._jsc.sc().getCheckpointDir().get()
 
-    The folder is the one in spark.checkpoint.dir. Only a local session may
-    lack it; it then gets a temporary folder.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not where:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            where = tempfile.mkdtemp(prefix="rowlattice-checkpoint-")
-        sc.setCheckpointDir(where)
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder and go on from the files, so that lost executors cost no recomputation from the start."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -66,3 +70,19 @@ def local_rows(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
 def small_side(df: DataFrame, n_rows: int, most: int = 100_000) -> DataFrame:
     """df to be broadcast if it is known to have `most` rows at most; else Spark joins it as it does any table."""
     return F.broadcast(df) if n_rows <= most else df
+
+
+def without(docs: DataFrame, gone: DataFrame, keys: dict[str, Column], most: int = 1_000_000) -> DataFrame:
+    """Rows of docs whose keys (named columns of gone: expressions over docs) aren't in gone.
+
+    gone is broadcast up to `most` rows; beyond, both sides are shuffled.
+    """
+    gone = cut(gone.select(*[F.col(k).alias(f"__g{i}") for i, k in enumerate(keys)]).distinct())
+    side = F.broadcast(gone) if gone.count() <= most else gone
+    return docs.join(side, [v.eqNullSafe(F.col(f"__g{i}")) for i, v in enumerate(keys.values())], "left_anti")
+
+
+def one_row_each(docs: DataFrame, keys: list[str], kept: DataFrame) -> DataFrame:
+    """docs without rows that repeat keys; kept has the keys of its rows, small, so that a look spares most tables the shuffle."""
+    repeated = kept.groupBy(*kept.columns).agg(F.count("*").alias("n")).filter("n > 1")
+    return docs if repeated.isEmpty() else docs.dropDuplicates(keys)

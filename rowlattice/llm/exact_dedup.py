@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowlattice.llm._common import LOWER, UPPER, attach_groups, cut, table
+from rowlattice.llm._common import LOWER, UPPER, attach_groups, cut, one_row_each, table, without
 
 _GEAR = np.random.default_rng(20240229).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -57,12 +57,12 @@ DIGESTS = {"xxh3_128": _xxh, "sha256_128": _sha}
 
 
 def recipes(docs: DataFrame, digest: str = "xxh3_128", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, text_sha256 and recipe (the 16-byte digests of the chunks, one after another)."""
+    """doc_id, text_key (a hash of the text as it is), n_bytes, text_sha256 and recipe (the 16-byte digests of the chunks, one after another)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, sha, made = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 data = (text.as_py() or "").encode().lower()
                 start, ids = 0, []
                 for end in chunk_ends(data):
@@ -71,9 +71,9 @@ def recipes(docs: DataFrame, digest: str = "xxh3_128", id_col: str = "doc_id", t
                 size.append(len(data))
                 sha.append(hashlib.sha256(data).hexdigest())
                 made.append(b"".join(ids))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(sha, pa.string()), pa.array(made, pa.binary())], names=["doc_id", "n_bytes", "text_sha256", "recipe"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(sha, pa.string()), pa.array(made, pa.binary())], names=["doc_id", "text_key", "n_bytes", "text_sha256", "recipe"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, text_sha256 string, recipe binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, text_key long, n_bytes long, text_sha256 string, recipe binary")
 
 
 def chunk_contents(docs: DataFrame, digest: str = "xxh3_128", text_col: str = "text") -> DataFrame:
@@ -114,29 +114,31 @@ def verified_digest(docs: DataFrame, text_col: str = "text") -> str:
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256: a row for each row of docs.
+    """doc_id, keep_id, group_size, kept, text_sha256, text_key: a row for each row of docs.
 
     Of rows with equal texts the one with the largest doc_id stays; null is
     less than any number, and a group whose ids are all null has keep_id null
     and stays whole. Rows that repeat a doc_id and a text are each a row, all
-    kept or none. Null and empty texts are one group. Further columns are not
-    read. An empty table gives an empty table.
+    kept or none. Null and empty texts are one group. text_key is a hash of
+    the text before normalising. Further columns are not read. An empty table
+    gives an empty table.
     """
     made = cut(recipes(docs, verified_digest(docs, text_col), id_col, text_col))
     groups = cut(made.groupBy("n_bytes", "recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1"))
     out = attach_groups(made, groups, ["n_bytes", "recipe"], "group_size", made.count(), "doc_id")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
+    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256", "text_key")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of docs that stay, with all their columns; of repeated rows with a kept doc_id one stays."""
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates([id_col])
+    """Rows of docs that stay, with all their columns; of rows that repeat a doc_id and a text one stays."""
+    groups = cut(exact_groups(docs, id_col, text_col).select("doc_id", "text_key", "kept"))
+    left = without(docs, groups.filter("NOT kept"), {"doc_id": F.col(id_col).cast("long"), "text_key": F.xxhash64(text_col)})
+    return one_row_each(left, [id_col, text_col], groups.filter("kept AND doc_id IS NOT NULL").select("doc_id", "text_key"))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    return exact_groups(table(spark, sf_dir, "documents"))
+    return exact_groups(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 _NORMAL = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"

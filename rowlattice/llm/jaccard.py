@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowlattice.llm._common import attach_groups, cut, table
+from rowlattice.llm._common import attach_groups, cut, one_row_each, table, without
 from rowlattice.llm._words import Block, blocks, mix
 from rowlattice.llm.graph import components
 
@@ -279,9 +279,11 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that have the smallest doc_id of their group, with all their columns; of repeated rows one."""
-    kept = near_groups(docs, **options).filter("doc_id <=> component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates(["doc_id"])
+    """The rows of docs that have the smallest doc_id of their group, with all their columns; of rows that repeat a doc_id and a text one stays. Rows without a doc_id stay."""
+    groups = cut(near_groups(docs, **options).select("doc_id", "component_id"))
+    same = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    left = without(docs, groups.filter(~same), {"doc_id": F.col("doc_id").cast("long")})
+    return one_row_each(left, ["doc_id", "text"], groups.filter(same & F.col("doc_id").isNotNull()).select("doc_id"))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

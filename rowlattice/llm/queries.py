@@ -1,9 +1,10 @@
 """The queries of the corpus operators, and SQL for those that SQL can express."""
 
-from rowlattice.llm import exact_dedup, jaccard, mixing, packing, pii, quality, secrets, sharding, toxicity
+from rowlattice.llm import exact_dedup, jaccard, line_dedup, mixing, packing, pii, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
+    "op2_line_spread": line_dedup.op2,
     "op3_secret_scan": secrets.op3,
     "op4_toxicity": toxicity.op4,
     "op5_feistel_sharding": sharding.op5,
@@ -14,6 +15,7 @@ QUERIES = {
     "op10_jaccard_join": jaccard.op10,
 }
 SQL = {
+    "op2_line_spread": line_dedup.OP2_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
     "op10_jaccard_join": jaccard.OP10_SQL,
 }

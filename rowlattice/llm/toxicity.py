@@ -326,7 +326,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     keep = np.flatnonzero(weight > 0.5)
     keep = np.sort(keep[np.argsort(-weight[keep], kind="stable")[:MAX_FEATURES]])
     out = {"model": shared, "codes": only[keep], "weights": weight[keep], "curve": (0.0, 0.0)}
-    seen = rows.filter("part = 1" if sizes.get((1, True)) and sizes.get((1, False)) else "part < 2").select("text", "toxic").mapInArrow(evidence_of(out, 1), "toxic int, evidence double").toArrow()
+    seen = rows.filter("part = 1" if sizes.get((1, True)) and sizes.get((1, False)) else "part < 2").select("text", "toxic").mapInArrow(evidence_of(out), "toxic int, evidence double").toArrow()
     return out | {"curve": curve(seen["evidence"].to_numpy(), seen["toxic"].to_numpy() > 0)}
 
 
@@ -343,7 +343,7 @@ def curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def evidence_of(fitted: dict, keep: int):
+def evidence_of(fitted: dict):
     """An Arrow function: the columns but the first text, and the heaviest n-gram's weight (0 without one)."""
     shared, codes, weights = fitted["model"], fitted["codes"], fitted["weights"]
 
@@ -391,10 +391,20 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     fitted = fit(docs, labels, sample)
     slope, at_zero = fitted["curve"]
-    made = docs.select("text", "doc_id").mapInArrow(evidence_of(fitted, 1), "doc_id long, evidence double")
+    made = docs.select("text", "doc_id").mapInArrow(evidence_of(fitted), "doc_id long, evidence double")
     p = 1 / (1 + F.exp(-(F.col("evidence") * slope + at_zero)))
     return made.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), p.alias("score"), (p >= 0.5).cast("int").alias("predicted"))
 
 
+def clean_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs that are not predicted toxic, with all their columns. Nothing is shuffled: whole rows pass the scorer."""
+    fitted = fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, sample)
+    slope, at_zero = fitted["curve"]
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    made = rows.select(F.col(names[docs.columns.index("text")]).alias("read"), *names).mapInArrow(evidence_of(fitted), ", ".join(f"{n} {t}" for n, (_, t) in zip(names, docs.dtypes, strict=True)) + ", evidence double")
+    return made.filter(F.col("evidence") * slope + at_zero < 0).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+
+
 def op4(spark, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
