@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,9 +35,34 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from the files, so that lost executors cost no recomputation from the start."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write df as a Parquet table in the shared folder and go on from the files.
+
+    Lost executors then cost no recomputation from the start, columns are
+    pruned, and plans stay small: a checkpointed plan would carry its
+    constraints along, which grow with every join of a loop. The tables of a
+    session go when it ends, or with clear().
+    """
+    place = f"{_own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
+def _own_folder(spark: SparkSession) -> str:
+    where = f"{shared_folder(spark)}/rowlattice"
+    if where not in _folders:
+        _folders.append(where)
+        atexit.register(clear, spark, where)
+    return where
+
+
+def clear(spark: SparkSession, where: str | None = None) -> None:
+    """Delete the tables that cut() wrote; DataFrames built on them can't be read afterwards."""
+    with contextlib.suppress(Exception):  # the session may have ended
+        path = spark._jvm.org.apache.hadoop.fs.Path(where or _own_folder(spark))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_folders: list[str] = []
 
 
 def attach_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, n_rows: int, spread: str) -> DataFrame:
@@ -86,3 +114,10 @@ def one_row_each(docs: DataFrame, keys: list[str], kept: DataFrame) -> DataFrame
     """docs without rows that repeat keys; kept has the keys of its rows, small, so that a look spares most tables the shuffle."""
     repeated = kept.groupBy(*kept.columns).agg(F.count("*").alias("n")).filter("n > 1")
     return docs if repeated.isEmpty() else docs.dropDuplicates(keys)
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """At most so many rows in an Arrow batch, for texts are long: a batch is held by the JVM and by Python at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))

@@ -22,7 +22,7 @@ _RINV = pow(_R, -1, 2**64)
 _MIX = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 _powers: dict[str, np.ndarray] = {}
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from rowlattice.llm._common import cut
+from rowlattice.llm._common import cut, small_side
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -18,12 +18,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
     both = cut(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = cut(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.first("u")).alias("component")))
+    n = labels.count()
     while True:
-        near = both.join(labels, F.col("v") == F.col("id")).groupBy(F.col("u").alias("n")).agg(F.min("component").alias("least"))
-        met = labels.join(near, F.col("id") == F.col("n")).select("id", F.col("component").alias("old"), F.least("component", "least").alias("component"))
+        near = both.join(small_side(labels, n), F.col("v") == F.col("id")).groupBy(F.col("u").alias("n")).agg(F.min("component").alias("least"))
+        met = near.join(small_side(labels, n), F.col("id") == F.col("n")).select("id", F.col("component").alias("old"), F.least("component", "least").alias("component"))
         far = labels.select(F.col("id").alias("of"), F.col("component").alias("its"))
-        new = cut(met.join(far, F.col("component") == F.col("of"), "left").select("id", "old", F.least("component", "its").alias("component")))
-        moved = new.filter("old <> component").limit(1).count()
+        moves = Observation()
+        new = met.join(small_side(far, n), F.col("component") == F.col("of"), "left").select("id", "old", F.least("component", "its").alias("component"))
+        new = cut(new.observe(moves, F.sum((F.col("old") != F.col("component")).cast("long")).alias("n")))
         labels = new.select("id", "component")
-        if not moved:
+        if not moves.get["n"]:
             return labels

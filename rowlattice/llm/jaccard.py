@@ -10,11 +10,11 @@ as many more shingles before the pair is verified. Counts and places of the
 shared shingles also bound the overlap from above.
 
 Documents with equal sets are one node. Pairs that share a rare prefix shingle
-come from a join on it; its lists are short, as frequent shingles have a path
+come from a join on short lists; lists of more than LONG documents have a path
 of their own. There, a list is compared with one of its documents at a time
-(stars), what is linked already is not compared again, and what stays in
-different components is then compared in full. So groups of thousands of near
-copies cost a few comparisons each, and no link between components is lost.
+(a star), and what is not in the largest component by then is compared with
+the rest in blocks, of which only links come out. So groups of thousands of near
+copies emit no lists of pairs, and no link between components is lost.
 Every pair that links two documents is verified on whole sets.
 """
 
@@ -27,15 +27,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowlattice.llm._common import attach_groups, cut, one_row_each, table, without
+from rowlattice.llm._common import attach_groups, cut, one_row_each, small_batches, small_side, table, without
 from rowlattice.llm._words import Block, blocks, mix
 from rowlattice.llm.graph import components
 
-#: Frequent shingles are those of at least total / FREQUENT documents (16 at least), so there are about FREQUENT at most; they are broadcast.
-FREQUENT = 1 << 20
+#: Frequent shingles are those of more than LONG documents, and of at least as many as leave no more than FREQUENT of them; they are broadcast.
+FREQUENT = 1 << 22
+LONG = 16
 MOST_EXTRA = 3
-STARS = 8
-BROADCAST_IDS = 1_000_000
+STARS = 1
+BROADCAST_IDS, BROADCAST_PAIRS = 1_000_000, 400_000
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -69,42 +70,33 @@ def _prints(d: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
     return sizes, *out
 
 
-def frequent_shingles(docs: DataFrame, size: int) -> DataFrame:
-    """token, n of shingles that some task met in two documents with different sets, or more; n leaves out tasks that met them once."""
+def frequent_shingles(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """token, n: for the shingles that prefixes may hold, in how many documents they are met.
+
+    Rare shingles are ordered by hash, so prefixes hold the smallest hashes; a
+    third more than a prefix of them are counted, for the room that frequent
+    ones leave. Documents whose sets are equal count once in a task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        held, amount, keys, counts = [], 0, np.empty(0, np.uint64), np.empty(0, np.int64)
-
-        def fold() -> tuple[np.ndarray, np.ndarray]:
-            new, times = np.unique(np.concatenate(held), return_counts=True)
-            both, inverse = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            return both, np.bincount(inverse, np.concatenate([counts, times]), len(both)).astype(np.int64)
-
         for _, b in blocks(batches, 0, lower=True):
             d, h = shingle_sets(b, size)
-            _, x, y = _prints(d, h, b.n)
+            sizes, x, y = _prints(d, h, b.n)
             first = np.zeros(b.n, bool)
             for i, k in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
                 if k not in seen:
                     seen.add(k)
                     first[i] = True
-            held.append(h[first[d]])
-            amount += len(held[-1])
-            if amount > 8_000_000:
-                keys, counts = fold()
-                held, amount = [], 0
-        if held:
-            keys, counts = fold()
-        keys, counts = keys[counts > 1], counts[counts > 1]
-        for i in range(0, len(keys), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 200_000].view(np.int64)), pa.array(counts[i : i + 200_000])], names=["token", "n"])
+            pool = np.where(first, (sizes - sizes * percent // 100) * 4 // 3 + 2, 0)
+            rank = np.arange(len(h)) - (np.cumsum(sizes) - sizes)[d]
+            yield pa.RecordBatch.from_arrays([pa.array(h[rank < pool[d]].view(np.int64))], names=["token"])
 
-    return docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n"))
 
 
 def prefixes(docs: DataFrame, size: int, percent: int, frequent: tuple[np.ndarray, np.ndarray], least: int) -> DataFrame:
-    """doc_id, n, fp1, fp2, ell, light, heavy of each row: set size, fingerprints, matches asked for, and the prefix, rare and frequent shingles apart."""
+    """doc_id, n, fp1, fp2, ell, light, heavy, last_n, last_h of each row: set size, fingerprints, matches asked for, the prefix, rare and frequent shingles apart, and the place of its last shingle in the order."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,20 +116,26 @@ def prefixes(docs: DataFrame, size: int, percent: int, frequent: tuple[np.ndarra
             rank = before[:-1] - before[start][d]  # among the rare shingles of the text
             rare = np.bincount(d, ~heavy, b.n).astype(np.int64)
             ell, extra_tokens = np.ones(b.n, np.int64), [[]] * b.n
+            last_n, last_h = np.zeros(b.n, np.int64), np.zeros(b.n, np.uint64)
             for i in np.flatnonzero(rare < length):
                 mine = slice(start[i], start[i] + sizes[i])
                 hs, dfs = h[mine][heavy[mine]], df[mine][heavy[mine]]
                 order = np.lexsort((hs, dfs))
                 need = int(length[i] - rare[i])
                 cost = dfs[order[:need]].mean() / least
-                ell[i] = 1 + min(MOST_EXTRA, int(np.log2(1 + cost)))
-                extra_tokens[i] = hs[order[: need + int(ell[i]) - 1]].view(np.int64).tolist()
+                ell[i] = min(1 + min(MOST_EXTRA, int(np.log2(1 + cost))), -(-int(sizes[i]) * percent // 100))  # similar sets share so many
+                order = order[: need + int(ell[i]) - 1]
+                extra_tokens[i] = hs[order].view(np.int64).tolist()
+                last_n[i], last_h[i] = dfs[order[-1]], hs[order[-1]]
             take = ~heavy & (rank < length[d])
+            only = np.flatnonzero(take & (last_n[d] == 0))
+            last_h[d[only]] = h[only]  # the last of each text is the greatest
+            last_h ^= np.uint64(1 << 63)  # signed as unsigned
             offsets = np.concatenate([[0], np.cumsum(np.bincount(d[take], minlength=b.n))]).astype(np.int32)
             light = pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[take].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes.astype(np.int32)), pa.array(x), pa.array(y), pa.array(ell.astype(np.int32)), light, pa.array(extra_tokens, pa.list_(pa.int64()))], names=["doc_id", "n", "fp1", "fp2", "ell", "light", "heavy"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes.astype(np.int32)), pa.array(x), pa.array(y), pa.array(ell.astype(np.int32)), light, pa.array(extra_tokens, pa.list_(pa.int64())), pa.array(last_n), pa.array(last_h.view(np.int64))], names=["doc_id", "n", "fp1", "fp2", "ell", "light", "heavy", "last_n", "last_h"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, fp1 long, fp2 long, ell int, light array<long>, heavy array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, fp1 long, fp2 long, ell int, light array<long>, heavy array<long>, last_n long, last_h long")
 
 
 def whole_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -162,11 +160,13 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, chunk: int = 128)
     The sets of b come to a, or to one of a's chunks of about `chunk` pairs, so
     that an id with many pairs is spread, and stream past its set.
     """
+    n = pairs.count()
+    near = lambda df: F.broadcast(df) if n <= BROADCAST_PAIRS else df  # noqa: E731  else the sets are shuffled
     degree = cut(pairs.groupBy("a").agg(F.count("*").alias("pairs_of_a")))
-    chunks = degree.select(F.col("a").alias("ca"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("pairs_of_a") - 1) / chunk).cast("long"))).alias("c"), F.floor((F.col("pairs_of_a") - 1) / chunk + 1).cast("long").alias("of"))
-    sized = attach_groups(pairs.select("a", "b"), degree, ["a"], "pairs_of_a", pairs.count(), "b")
-    right = sized.join(sets, F.col("b") == F.col("id")).select("a", F.pmod(F.xxhash64("b"), F.floor((F.col("pairs_of_a") - 1) / chunk + 1).cast("long")).alias("c"), "b", "hashes")
-    left = chunks.join(sets, F.col("ca") == F.col("id")).select(F.col("ca").alias("a"), "c", F.lit(None).cast("long").alias("b"), "hashes")
+    chunks = degree.select(F.col("a").alias("ca"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("pairs_of_a") - 1) / chunk).cast("long"))).alias("c"))
+    sized = pairs.join(near(degree), "a") if n <= BROADCAST_PAIRS else attach_groups(pairs.select("a", "b"), degree, ["a"], "pairs_of_a", n, "b")
+    right = sets.join(near(sized), F.col("b") == F.col("id")).select("a", F.pmod(F.xxhash64("b"), F.floor((F.col("pairs_of_a") - 1) / chunk + 1).cast("long")).alias("c"), "b", "hashes")
+    left = sets.join(near(chunks), F.col("ca") == F.col("id")).select(F.col("ca").alias("a"), "c", F.lit(None).cast("long").alias("b"), "hashes")
     dealt = left.unionByName(right).repartition("a", "c").sortWithinPartitions("a", "c", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,10 +188,6 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, chunk: int = 128)
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _prefix(n: Column, percent: int) -> Column:
-    return n - F.floor((n * percent + 99) / 100) + 1
-
-
 def _need(na: Column, nb: Column, percent: int) -> Column:
     """Least overlap of similar sets of these sizes."""
     return F.floor((percent * (na + nb) + 100 + percent - 1) / (100 + percent))
@@ -201,22 +197,64 @@ def _near_sizes(na: Column, nb: Column, percent: int) -> Column:
     return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
 
 
-def rare_candidates(nodes: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs that share a rare prefix shingle and that counts and places don't rule out."""
-    lists = nodes.select(F.col("id"), "n", "ell", F.size("heavy").alias("nh"), F.posexplode("light").alias("pos", "token"))
-    x, y = lists.alias("x"), lists.alias("y")
-    m = F.least(F.col("x.ell"), F.col("y.ell"))
-    inside = lambda s: F.col(f"{s}.pos") < _prefix(F.col(f"{s}.n"), percent) + m - 1
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & _near_sizes(F.col("x.n"), F.col("y.n"), percent) & inside("x") & inside("y"))
-    pairs = met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("c"), F.max("x.pos").alias("pa"), F.max("y.pos").alias("pb"), F.max("x.n").alias("na"), F.max("y.n").alias("nb"), F.max(m).alias("m"), F.max(F.least("x.nh", "y.nh")).alias("nh"))
-    possible = F.col("c") + F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb")) >= _need(F.col("na"), F.col("nb"), percent)
-    return pairs.filter(possible & (F.col("c") + F.col("nh") >= F.col("m"))).select("a", "b")
+def postings(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """token, id, n, n_t of the prefix shingles that two nodes or more have; and the nodes' id, n, np, ell, last, k_long.
+
+    n_t is the length of a shingle's list, np that of a prefix, k_long its
+    shingles in lists of more than LONG nodes. Lists are counted by partial
+    sums and long ones are attached by broadcast, so none meets in one task.
+    """
+    every = nodes.select("id", "n", F.explode(F.concat("light", "heavy")).alias("token"))
+    counts = cut(every.groupBy("token").agg(F.count("*").alias("n_t")).filter("n_t > 1"))
+    total = nodes.agg(F.sum(F.size("light") + F.size("heavy"))).first()[0] or 0
+    met = cut(attach_groups(every, counts, ["token"], "n_t", total, "id").filter("n_t IS NOT NULL").select("token", "id", "n", "n_t"))
+    long = met.filter(F.col("n_t") > LONG).groupBy(F.col("id").alias("__id")).agg(F.count("*").alias("k"))
+    facts = nodes.select("id", "n", (F.size("light") + F.size("heavy")).alias("np"), "ell", F.struct("last_n", "last_h").alias("last"))
+    facts = facts.join(long, F.col("id") == F.col("__id"), "left").select("id", "n", "np", "ell", "last", F.coalesce("k", F.lit(0)).alias("k_long"))
+    return met, cut(facts)
+
+
+def _with_facts(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    for s in ("a", "b"):
+        pairs = pairs.join(facts.select(F.col("id").alias("__id"), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "np", "ell", "last", "k_long")]), F.col(s) == F.col("__id")).drop("__id")
+    return pairs
+
+
+def _possible(percent: int) -> Column:
+    """Whether prefixes with c shared shingles of short lists leave a pair enough.
+
+    Of two prefixes the one that ends first can match nothing more of what it
+    has not matched, so its unmatched shingles are missing in the other
+    document; those in long lists may be shared.
+    """
+    slack = lambda s: F.col(f"n_{s}") - F.col(f"np_{s}") + F.col("c") + F.col(f"k_long_{s}")
+    most = F.when(F.col("last_a") <= F.col("last_b"), slack("a")).otherwise(slack("b"))
+    return (most >= _need(F.col("n_a"), F.col("n_b"), percent)) & (F.col("c") + F.least("k_long_a", "k_long_b") >= F.least("ell_a", "ell_b"))
+
+
+def rare_candidates(met: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs that share a prefix shingle of a short list and that the prefixes don't rule out."""
+    short = met.filter(F.col("n_t") <= LONG).select("token", "id", "n")
+    x, y = short.alias("x"), short.alias("y")
+    both = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & _near_sizes(F.col("x.n"), F.col("y.n"), percent))
+    pairs = both.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("c"))
+    return _with_facts(pairs, facts).filter(_possible(percent)).select("a", "b")
+
+
+def _heads(now: DataFrame, step: int, n_rows: int) -> DataFrame:
+    """now with hid, hn, hc: of each list one document, chosen by hash, its size and component."""
+    heads = now.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(step), "id").alias("h"), "id", F.col("n").alias("n"), F.col("component").alias("component"))).alias("head"), F.count("*").alias("size")).select("token", F.col("head.id").alias("hid"), F.col("head.n").alias("hn"), F.col("head.component").alias("hc"), "size")
+    return attach_groups(now, cut(heads), ["token"], "size", n_rows, "id")
 
 
 def frequent_links(lists: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """links and those found among lists (id, n, token: prefixes' frequent shingles), enough to give all components."""
+    """links and those found through long lists (token, id, n), enough to give all components.
+
+    Stars come first. Documents that long lists connect are a cluster; those
+    outside its largest component are then compared with all of it, in blocks.
+    """
     n_rows = lists.count()
-    tested, known = None, links
+    known = links
 
     def labelled() -> DataFrame:
         label = components(known).select(F.col("id").alias("__id"), "component")
@@ -224,23 +262,66 @@ def frequent_links(lists: DataFrame, sets: DataFrame, links: DataFrame, percent:
 
     now = labelled()
     for step in range(STARS):
-        per_part = now.groupBy("token", "component").agg(F.count("*").alias("k"))
-        left = per_part.groupBy("token").agg(F.sum("k").alias("size"), F.count("*").alias("parts"), F.sum(F.col("k").cast("double") * F.col("k")).alias("squares")).filter("parts > 1")
-        apart = left.agg(F.sum((F.col("size") * F.col("size") - F.col("squares")) / 2)).first()[0] or 0
-        if apart <= 2 * n_rows:
-            break
-        heads = now.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(step), "id").alias("h"), "id", F.col("n").alias("n"), F.col("component").alias("component"))).alias("head"), F.count("*").alias("size")).select("token", F.col("head.id").alias("hid"), F.col("head.n").alias("hn"), F.col("head.component").alias("hc"), "size")
-        star = attach_groups(now, cut(heads), ["token"], "size", n_rows, "id").filter((F.col("hc") != F.col("component")) & _near_sizes(F.col("n"), F.col("hn"), percent))
-        pairs = star.select(F.col("hid").alias("a"), F.col("id").alias("b")).distinct()
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        new = cut(verified(pairs, sets, percent))
-        known = known.unionByName(new)
+        star = _heads(now, step, n_rows).filter((F.col("hc") != F.col("component")) & _near_sizes(F.col("n"), F.col("hn"), percent))
+        known = known.unionByName(cut(verified(cut(star.select(F.col("hid").alias("a"), F.col("id").alias("b")).distinct()), sets, percent)))
         now = labelled()
-    x, y = now.alias("x"), now.alias("y")
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & _near_sizes(F.col("x.n"), F.col("y.n"), percent))
-    pairs = cut(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
-    return known.unionByName(verified(pairs, sets, percent))
+    near = _heads(now, 0, n_rows).select(F.col("hid").alias("a"), F.col("id").alias("b")).distinct()
+    cluster = components(near).select(F.col("id").alias("__id"), F.col("component").alias("cluster"))
+    placed = cut(now.select("id", "component").distinct().join(cluster, F.col("id") == F.col("__id")).select("id", "component", "cluster"))
+    return known.unionByName(block_links(placed, sets, percent))
+
+
+def block_links(placed: DataFrame, sets: DataFrame, percent: int, left: int = 256, right: int = 1024) -> DataFrame:
+    """a, b: links between different components of one cluster (placed: id, component, cluster).
+
+    Documents outside the cluster's largest component, in blocks of about
+    `left`, against all its documents, in blocks of about `right`. Two blocks
+    meet in one task, which indexes the first and streams the second past it;
+    nothing but links comes out.
+    """
+    parts = placed.groupBy("cluster", "component").agg(F.count("*").alias("k"))
+    facts = cut(parts.groupBy("cluster").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("size"), F.max("k").alias("most")).filter("size > most").select(F.col("cluster").alias("__c"), "main", F.ceil((F.col("size") - F.col("most")) / left).cast("long").alias("nl"), F.ceil(F.col("size") / right).cast("long").alias("nr")))
+    rows = placed.join(small_side(facts, facts.count()), F.col("cluster") == F.col("__c")).withColumn("main", F.col("component") == F.col("main")).drop("__c")
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    one = rows.filter("NOT main").select("cluster", block("nl").alias("l"), every("nr").alias("r"), F.lit(0).alias("side"), "id", "component", "main")
+    two = rows.select("cluster", every("nl").alias("l"), block("nr").alias("r"), F.lit(1).alias("side"), "id", "component", "main")
+    dealt = one.unionByName(two).join(sets.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id")).select("cluster", "l", "r", "side", "id", "component", "main", "hashes")
+    dealt = dealt.repartition("cluster", "l", "r").sortWithinPartitions("cluster", "l", "r", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, parts_, held, index = None, [], [], [], None
+        for batch in batches:
+            out_a, out_b = [], []
+            for c, l, r, side, i, part, main, raw in zip(*(batch.column(k).to_pylist() for k in range(7)), batch.column(7), strict=True):
+                other = np.frombuffer(raw.as_buffer(), np.uint64)
+                if (c, l, r) != key:
+                    key, ids, parts_, held, index = (c, l, r), [], [], [], None
+                if side == 0:
+                    ids.append(i)
+                    parts_.append(part)
+                    held.append(np.array(other))
+                    continue
+                if not ids:
+                    continue
+                if index is None:
+                    tokens = np.concatenate(held)
+                    sizes = np.fromiter(map(len, held), np.int64, len(held))
+                    order = np.argsort(tokens, kind="stable")
+                    index = (tokens[order], np.repeat(np.arange(len(held)), sizes)[order], sizes, np.asarray(ids), np.asarray(parts_))
+                tokens, of, sizes, left_ids, left_parts = index
+                lo, hi = np.searchsorted(tokens, other, "left"), np.searchsorted(tokens, other, "right")
+                n = hi - lo
+                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                common = np.bincount(of[at], minlength=len(sizes))
+                hit = (100 * common >= percent * (sizes + len(other) - common)) & (left_parts != part)
+                hit &= (left_ids < i) | main
+                for x in left_ids[hit].tolist():
+                    out_a.append(min(x, i))
+                    out_b.append(max(x, i))
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,23 +335,29 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     row. Other columns are not read. An empty table gives an empty table.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    least = max(16, chars // (6 * FREQUENT))
-    often = frequent_shingles(docs, size).filter(F.col("n") >= least).toArrow()
+    small_batches(docs.sparkSession)
+    counted = cut(frequent_shingles(docs, size, percent).filter(F.col("n") > LONG))
+    least = LONG + 1
+    while counted.filter(F.col("n") >= least).count() > FREQUENT:
+        least *= 2
+    often = counted.filter(F.col("n") >= least).toArrow()
     tokens, times = often["token"].to_numpy().view(np.uint64), often["n"].to_numpy()
     order = np.argsort(tokens)
     rows = cut(prefixes(docs, size, percent, (tokens[order], times[order]), least))
     keys = ["n", "fp1", "fp2"]
     filled = rows.filter("n > 0")
-    nodes = filled.groupBy(*keys).agg(F.min("doc_id").alias("id"), F.first("ell").alias("ell"), F.first("light").alias("light"), F.first("heavy").alias("heavy")).filter("id IS NOT NULL")
-    pairs = cut(rare_candidates(nodes, percent))
-    lists = cut(nodes.filter(F.size("heavy") > 0).select("id", "n", F.explode("heavy").alias("token")))
-    many = not lists.isEmpty()
+    nodes = filled.groupBy(*keys).agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("ell", "light", "heavy", "last_n", "last_h")]).filter("id IS NOT NULL")
+    met, facts = postings(nodes)
+    pairs = cut(rare_candidates(met, facts, percent))
+    often_met = facts.filter("k_long > 0").select("id")
+    many = not often_met.isEmpty()
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-    sets = cut(whole_sets(docs, cut((ids.union(lists.select("id")) if many else ids).distinct()), size).dropDuplicates(["id"]))
+    sets = whole_sets(docs, cut((ids.union(often_met) if many else ids).distinct()), size)
+    repeated = not rows.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").isEmpty()
+    sets = cut(sets.dropDuplicates(["id"]) if repeated else sets)
     links = cut(verified(pairs, sets, percent))
     if many:
-        links = cut(frequent_links(lists, sets, links, percent))
+        links = cut(frequent_links(cut(met.filter(F.col("n_t") > LONG).select("id", "n", "token")), sets, links, percent))
     label = components(links).select(F.col("id").alias("__id"), "component")
     groups = filled.groupBy(*keys).agg(F.min("doc_id").alias("id"), F.count("*").alias("size"))
     groups = groups.join(label, F.col("id") == F.col("__id"), "left").select(*keys, F.coalesce("component", "id").alias("component_id"), "size").filter("size > 1 OR component_id IS NOT NULL")
