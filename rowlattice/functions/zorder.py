@@ -6,26 +6,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _mask(group: int, d: int, bits: int) -> Column:
+    """Bits in groups of `group`, each group followed by room for those of the other dimensions."""
+    return F.lit(sum(1 << (i // group * group * d + i % group) for i in range(bits))).cast("long")
+
+
+def _groups(bits: int) -> list[int]:
+    return [1 << k for k in range((bits - 1).bit_length() - 1, -1, -1)]
+
+
+def _spread(c: Column, d: int, bits: int) -> Column:
+    """Bits of a number d places apart: groups are halved and moved, so it takes log2(bits) steps."""
+    x = c.cast("long")
+    for g in _groups(bits):
+        x = x.bitwiseOR(F.shiftleft(x, g * (d - 1))).bitwiseAND(_mask(g, d, bits))
+    return x
+
+
 def zip_bits(dims: list[Column], bits: int) -> Column:
-    """Interleaved bits of non-negative integers, the first dimension's the highest."""
+    """Interleaved bits of non-negative integers below 2**bits, the first dimension's the highest."""
     d = len(dims)
     if d * bits > 63:
         raise ValueError(f"{d} dimensions of {bits} bits don't fit into 63")
     out = F.lit(0).cast("long")
-    for b in range(bits):
-        for i, c in enumerate(dims):
-            bit = F.shiftright(c.cast("long"), b).bitwiseAND(F.lit(1).cast("long"))
-            out = out.bitwiseOR(F.shiftleft(bit, b * d + (d - 1 - i)))
+    for i, c in enumerate(dims):
+        out = out.bitwiseOR(F.shiftleft(_spread(c, d, bits), d - 1 - i))
     return out
 
 
 def unzip(key: Column, i: int, d: int, bits: int) -> Column:
     """Coordinate i of a key."""
-    out = F.lit(0).cast("long")
-    for b in range(bits):
-        bit = F.shiftright(key, b * d + (d - 1 - i)).bitwiseAND(F.lit(1).cast("long"))
-        out = out.bitwiseOR(F.shiftleft(bit, b))
-    return out
+    x = F.shiftright(key.cast("long"), d - 1 - i).bitwiseAND(_mask(1, d, bits))
+    for g in reversed(_groups(bits)):
+        x = x.bitwiseOR(F.shiftright(x, g * (d - 1))).bitwiseAND(_mask(2 * g, d, bits))
+    return x
 
 
 def zip_int(point: list[int], bits: int) -> int:

@@ -49,6 +49,8 @@ class Filter:
 
     def apply(self, df: DataFrame) -> DataFrame:
         columns = df.columns
+        if type(self).flags is Filter.flags and type(self).prepare is Filter.prepare:
+            return self.transform(df.filter(self.include()))  # a bare predicate, which can reach the scan
         out, include, drop = self.flags(df)
         return self.transform(out.filter(F.col(include) & ~F.col(drop)).select(*columns))
 

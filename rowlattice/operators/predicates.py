@@ -134,7 +134,8 @@ class ColumnRange:
         out = F.lit(True)
         for op, value in self.bounds:
             out = out & compare(F.col(self.qualifier), op, value)
-        return F.coalesce(out, F.lit(missing_passes))
+        # null of a missing column filters it out; a wrapper would keep the range from the Parquet scan
+        return F.col(self.qualifier).isNull() | out if missing_passes else out
 
     @property
     def is_range(self) -> bool:

@@ -170,7 +170,7 @@ query("sync_by_hash", lambda s, sf: sync(*_two_sides(s, sf), ["row"], "v", F.flo
 query("hash_batches", lambda s, sf: hash_batches(orders(s, sf), F.floor(F.col("row") / 500), ["row", "t"]), f"""WITH {ORDERS_SQL} SELECT CAST(floor("row" / 500.0) AS BIGINT) AS batch, count(*) AS n, CAST(CAST(sum(CAST(('0x' || substr(md5("row" || chr(31) || t), 1, 12)) AS HUGEINT)) AS HUGEINT) AS VARCHAR) AS digest FROM orders_w GROUP BY 1""")
 
 # ---- statistics ----
-query("hist_equiwidth", lambda s, sf: histogram(orders(s, sf), "t", 0, 50000000, 100), f"WITH {ORDERS_SQL} SELECT CAST(greatest(least(floor(t * 100 / 50000000.0), 99), 0) AS INTEGER) AS bucket, count(*) AS n FROM orders_w GROUP BY 1")
+query("hist_equiwidth", lambda s, sf: histogram(orders(s, sf), "t", 0, 50000000, 100), f"WITH {ORDERS_SQL} SELECT CAST(greatest(least(floor(t::DOUBLE * 100 / 50000000.0), 99), 0) AS INTEGER) AS bucket, count(*) AS n FROM orders_w GROUP BY 1")
 query("hist_set", lambda s, sf: value_histogram(orders(s, sf), "p", [1, 3, 5]), f"WITH {ORDERS_SQL} SELECT p AS value, count(*) AS n FROM orders_w WHERE p IN (1, 3, 5) GROUP BY p")
 
 

@@ -100,3 +100,10 @@ query("wide_from_cells", lambda s, sf: to_wide(event_cells(s, sf, False), {"clic
 query("cells_from_wide", lambda s, sf: to_cells(orders(s, sf).filter("row < 500"), "row", "f", ["t", "d", "p", "st"]).select("row", "qualifier", "value"), """SELECT o_orderkey AS "row", x.q AS qualifier, x.v AS value FROM orders, LATERAL (VALUES ('t', CAST(CAST(trunc(o_totalprice * 100) AS INTEGER) AS VARCHAR)), ('d', strftime(o_orderdate, '%Y%m%d')), ('p', substr(o_orderpriority, 1, 1)), ('st', o_orderstatus)) x(q, v) WHERE o_orderkey < 500""")
 query("nested_rows", lambda s, sf: nested(resolve(event_cells(s, sf), 2)).select("row", F.size("families").alias("n_families"), F.aggregate(F.map_values("families"), F.lit(0), lambda a, m: a + F.size(m)).alias("n_columns")), f"WITH {DEDUP} SELECT \"row\", CAST(count(DISTINCT family) AS INTEGER) AS n_families, CAST(count(DISTINCT family || qualifier) AS INTEGER) AS n_columns FROM ranked WHERE version <= 2 GROUP BY \"row\"")
 query("regions", lambda s, sf: with_region(event_cells(s, sf, False), ["000050", "000100"]).groupBy("region").agg(F.countDistinct("row").alias("rows")), f"WITH {CELLS_SQL} SELECT CASE WHEN \"row\" >= '000100' THEN 2 WHEN \"row\" >= '000050' THEN 1 ELSE 0 END AS region, count(DISTINCT \"row\") AS rows FROM cells WHERE type = 0 GROUP BY 1")
+
+# ---- scans from plain data ----
+from rowlattice.plans.scanspec import filter_of, scan_of  # noqa: E402
+
+query("shell_scan", lambda s, sf: table(s, sf).scan(scan_of({"STARTROW": "000020", "STOPROW": "000060", "COLUMNS": ["a", "b:signup"], "VERSIONS": 2, "TIMERANGE": [3, 20], "FILTER": "QualifierFilter(!=, 'binary:click')"})).select(*OUT), ranked_sql("\"row\" >= '000020' AND \"row\" < '000060' AND (family = 'a' OR qualifier = 'signup') AND ts >= 3 AND ts < 20 AND qualifier <> 'click'", 2))
+_JSON = '{"type": "FilterList", "op": "MUST_PASS_ONE", "filters": [{"type": "PrefixFilter", "value": "MDAwMDE="}, {"type": "FilterList", "op": "MUST_PASS_ALL", "filters": [{"type": "QualifierFilter", "op": "EQUAL", "comparator": {"type": "BinaryComparator", "value": "dmlldw=="}}, {"type": "TimestampsFilter", "timestamps": [2, 5]}]}]}'
+query("json_filter", lambda s, sf: filter_of(_JSON).apply(event_cells(s, sf, False)).select(*OUT), f"WITH {CELLS_SQL} SELECT {COLS} FROM cells WHERE type = 0 AND (starts_with(\"row\", '00001') OR (qualifier = 'view' AND ts IN (2, 5)))")

@@ -56,11 +56,11 @@ def stateful_counters(stream: DataFrame, key: str, value: str) -> DataFrame:
 
 def windows(events: DataFrame, ts: str, length: str, slide: str | None = None, keys: tuple[str, ...] = (), late: str | None = None) -> DataFrame:
     """Counts in tumbling or sliding windows; `late` is the watermark of a stream."""
-    df = events.withWatermark(ts, late) if late else events
+    df = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if late else events
     w = F.window(ts, length, slide) if slide else F.window(ts, length)
     return df.groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n")
 
 
 def sessions(events: DataFrame, ts: str, gap: str, keys: tuple[str, ...], late: str | None = None) -> DataFrame:
-    df = events.withWatermark(ts, late) if late else events
+    df = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if late else events
     return df.groupBy(F.session_window(ts, gap).alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n")
