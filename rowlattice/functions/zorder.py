@@ -94,7 +94,10 @@ def _corner(prefix: int, length: int, d: int, bits: int) -> tuple[list[int], lis
     return low, high
 
 
-def in_ranges(key: Column, ranges: list[tuple[int, int]]) -> Column:
+def in_ranges(key: Column, ranges: list[tuple[int, int]], computed: bool = False) -> Column:
+    """Whether key lies in any range. A computed key is bound once, as a plain predicate would repeat its expression in each comparison; a stored one keeps bare comparisons, which reach the scan."""
+    if computed:
+        return F.element_at(F.transform(F.array(key), lambda z: in_ranges(z, ranges)), 1)
     out = F.lit(False)
     for s, e in ranges:
         out = out | key.between(s, e)

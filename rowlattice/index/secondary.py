@@ -136,7 +136,7 @@ def multi_dimensional(t: Indexed, ranges: list[ColumnRange], by_key: bool = True
         copy = t.copies["md"]
     else:
         copy = t.base.filter(" AND ".join(f"{c} IS NOT NULL" for c in dims)).withColumn("zkey", zip_bits([F.col(c) for c in dims], bits))
-    found = copy.filter(in_ranges(F.col("zkey"), spans)).filter(conjunction(ranges) if not by_key or "md" not in t.copies else conjunction([r for r in ranges if r.qualifier in dims]))
+    found = copy.filter(in_ranges(F.col("zkey"), spans, "md" not in t.copies)).filter(conjunction(ranges) if not by_key or "md" not in t.copies else conjunction([r for r in ranges if r.qualifier in dims]))
     if by_key:
         return fetch(t.base.filter(conjunction(ranges)), found.select(F.col(t.row).alias("row")), t.row)
     return found.select(*t.base.columns)

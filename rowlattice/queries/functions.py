@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from rowlattice.functions import codecs as c
@@ -14,6 +12,7 @@ from rowlattice.operators.scan import Scan
 from rowlattice.queries import query
 from rowlattice.sources.events import CELLS_SQL, PUTS_SQL, event_cells
 from rowlattice.sources.orders import orders
+from rowlattice.sources.places import shared_place
 from rowlattice.sources.tables import replay
 
 query("fn_price_date_priority", lambda s, sf: s.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", c.price_cents(F.col("o_totalprice")).alias("t"), c.date_int(F.col("o_orderdate")).alias("d"), c.priority(F.col("o_orderpriority")).alias("p")), "SELECT o_orderkey, CAST(trunc(o_totalprice * 100) AS INTEGER) AS t, CAST(strftime(o_orderdate, '%Y%m%d') AS INTEGER) AS d, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS p FROM orders")
@@ -33,8 +32,7 @@ def _round_trip(s, sf):
     """Separated text written and read again, with a bad line."""
     from rowlattice.sources.tables import TextSpec, read_text, write_text
 
-    base = s.conf.get("spark.checkpoint.dir", None) or "/tmp/rowlattice"
-    path = f"{base}/text-{uuid.uuid4().hex}"
+    path = shared_place(s, "text")
     write_text(orders(s, sf).select(F.col("row").cast("string").alias("row"), "d", "st"), path, ["row", "d", "st"])
     return read_text(s, path, TextSpec(("ROW_KEY", "f:d", "f:st"))).select(F.col("row").cast("long").alias("row"), "qualifier", "value")
 
@@ -47,7 +45,7 @@ def _dump(s, sf):
     from rowlattice.operators.predicates import Binary
     from rowlattice.sources.tables import export, restore
 
-    path = f"{s.conf.get('spark.checkpoint.dir', None) or '/tmp/rowlattice'}/dump-{uuid.uuid4().hex}"
+    path = shared_place(s, "dump")
     export(event_cells(s, sf), path)
     return restore(s, path, {"b": "y"}, QualifierFilter("!=", Binary("view"))).select(*CELL)
 

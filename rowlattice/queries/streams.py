@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import functions as F
 
 from rowlattice.queries import query
 from rowlattice.sources.events import event_cells
+from rowlattice.sources.places import shared_place
 from rowlattice.streaming import ingest
 
 
 def _work(s, name):
-    from pyspark.sql import SparkSession  # noqa: F401
-
-    base = s.conf.get("spark.checkpoint.dir", None) or "/tmp/rowlattice"
-    return os.path.join(base, f"stream-{name}-{uuid.uuid4().hex}")
+    return shared_place(s, f"stream-{name}")
 
 
 def _log(s, sf, files=4):
