@@ -38,7 +38,8 @@ def shared_lines(docs: DataFrame, least_sites: int = 3, id_col: str = "doc_id",
     sketches = cut(pairs.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(REGISTERS)).alias("sketch"), F.sum("n").alias("n"), F.count("*").alias("rows")).filter(F.col("rows") >= least_sites * (1 - MARGIN)).select("h1", "h2", "n", F.hll_sketch_estimate("sketch").alias("sites")))
     sure = sketches.filter(F.col("sites") > least_sites * (1 + MARGIN)).select("h1", "h2", "n")
     near = sketches.filter(F.col("sites").between(least_sites * (1 - MARGIN), least_sites * (1 + MARGIN))).select("h1", "h2", "n")
-    exact = attach_groups(pairs.select("h1", "h2", "site"), cut(near), ["h1", "h2"], "n", max(1, sketches.count()), "site").filter("n IS NOT NULL").groupBy("h1", "h2").agg(F.countDistinct("site").alias("sites"), F.max("n").alias("n")).filter(F.col("sites") >= least_sites)
+    near = cut(near)
+    exact = attach_groups(pairs.select("h1", "h2", "site"), near, ["h1", "h2"], "n", near.agg(F.sum("n")).first()[0] or 1, "site").filter("n IS NOT NULL").groupBy("h1", "h2").agg(F.countDistinct("site").alias("sites"), F.max("n").alias("n")).filter(F.col("sites") >= least_sites)
     return sure.unionByName(exact.select("h1", "h2", "n"))
 
 
@@ -53,7 +54,7 @@ def without_shared_lines(docs: DataFrame, least_sites: int = 3, id_col: str = "d
     """
     bad = cut(shared_lines(docs, least_sites, id_col, text_col, site_col))
     lines = lines_of(docs, id_col, text_col, site_col).select("doc_id", *_keys(F.col("line")), F.xxhash64("line").alias("h")).distinct()
-    hits = attach_groups(lines, bad, ["h1", "h2"], "n", docs.count(), "doc_id").filter("n IS NOT NULL")
+    hits = attach_groups(lines, bad, ["h1", "h2"], "n", bad.agg(F.sum("n")).first()[0] or 1, "doc_id").filter("n IS NOT NULL")
     per_doc = hits.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("h1", "h2")).alias("__bad"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(per_doc, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     split = F.split("text", "\n", -1)
