@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,13 +15,14 @@ ROW_KEY, STAMP, TTL, VISIBILITY, ATTRIBUTES = "ROW_KEY", "TS_KEY", "CELL_TTL", "
 
 @dataclass(frozen=True)
 class TextSpec:
-    """Column names in order: ROW_KEY once, TS_KEY and the other special names at most once, else family:qualifier. One character separates."""
+    """Column names in order: ROW_KEY once, TS_KEY and the other special names at most once, else family:qualifier. Special names may have a capital prefix. One character separates."""
 
     columns: tuple[str, ...]
     sep: str = "\t"
 
     def __post_init__(self):
-        special = [c.removeprefix("HBASE_") for c in self.columns]
+        names = "|".join((ROW_KEY, STAMP, TTL, VISIBILITY, ATTRIBUTES))
+        special = [re.sub(rf"^[A-Z]+_(?=(?:{names})$)", "", c) for c in self.columns]
         object.__setattr__(self, "columns", tuple(special))
         if len(self.sep) != 1:
             raise ValueError("a separator is one character")

@@ -188,7 +188,7 @@ def test_chooser(spark, sf):
 
 def test_text_files(spark, tmp_path):
     (tmp_path / "x.tsv").write_text("r1\tv1\t5\nr2\tv2\nr3\tv3\tx\n\tv\t1\nr4\tv4\t7\n")
-    spec = TextSpec(("HBASE_ROW_KEY", "f:q", "HBASE_TS_KEY"))
+    spec = TextSpec(("STORE_ROW_KEY", "f:q", "STORE_TS_KEY"))
     assert {(r["row"], r["value"], r["ts"]) for r in read_text(spark, str(tmp_path / "x.tsv"), spec).collect()} == {("r1", "v1", 5), ("r4", "v4", 7)}
     for bad in (("f:q",), ("ROW_KEY", "ROW_KEY", "f:q"), ("ROW_KEY",), ("ROW_KEY", "TS_KEY", "TS_KEY", "f:q")):
         with pytest.raises(ValueError):
