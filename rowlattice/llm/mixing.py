@@ -54,13 +54,21 @@ def _rate(tilt, size, unit, cap: int):
 
 
 def solve(hist: DataFrame, goal: dict[str | None, float], sizes: dict[str | None, int], units: dict[str | None, float], cap: int = 3, steps: int = 60, near: float = 1e-5) -> dict[str | None, float]:
-    """The dual variable of each source, by safeguarded Newton steps (bisection where a step leaves its bracket)."""
+    """The dual variable of each source, by safeguarded Newton steps (bisection where a step leaves its bracket).
+
+    A bracket has no end on a side until a measured tilt is past the target
+    there; steps to an open side reach twice as far each time, as long documents
+    make the unit large and the tilts that ordinary ones need with it. Where
+    fixed-point rates can't meet a target to `near`, the nearest tilt is taken.
+    RuntimeError if that is off by more than the rates' rounding.
+    """
     spark = hist.sparkSession
     tilt = {s: 0.0 for s in goal}
-    low = {s: -60.0 for s in goal}
-    high = {s: 4000.0 for s in goal}
+    low, high, reach = {s: -math.inf for s in goal}, {s: math.inf for s in goal}, {s: 60.0 for s in goal}
+    best = {s: (math.inf, 0.0) for s in goal}  # distance from the target, tilt
     open_ = [s for s in goal if sizes[s] and goal[s] < cap * sizes[s] * (1 - 1e-9)]
-    tilt |= {s: high[s] for s in goal if s not in open_}  # cap copies of everything
+    asked = list(open_)
+    tilt |= {s: (math.log(cap) + 1) * units[s] for s in goal if s not in open_}  # cap copies of everything
     for _ in range(steps):
         if not open_:
             break
@@ -71,22 +79,33 @@ def solve(hist: DataFrame, goal: dict[str | None, float], sizes: dict[str | None
             hist.join(small_side(now, len(open_)), F.col("source").eqNullSafe(F.col("k")))
             .withColumn("r", rate)
             .groupBy("source")
-            .agg(F.sum(words * F.col("r")).alias("taken"), F.sum(F.when(F.col("r") < cap * ONE, words * F.col("r") * F.round(F.col("size") / F.col("unit") * 1024).cast("long"))).alias("slope"))
+            .agg(F.sum(words * F.col("r")).alias("taken"), F.sum(F.when(F.col("r") < cap * ONE, words * F.col("r") * F.col("size"))).alias("slope"))
             .collect()
         )
         still = []
         for row in got:
             s = row["source"]
             off = float(row["taken"]) / ONE - goal[s]
-            slope = float(row["slope"] or 0) / ONE / 1024
+            slope = float(row["slope"] or 0) / ONE / units[s]
+            best[s] = min(best[s], (abs(off), tilt[s]))
             if abs(off) <= near * goal[s]:
                 continue
             low[s], high[s] = (low[s], tilt[s]) if off > 0 else (tilt[s], high[s])
             step = tilt[s] - off / slope if slope > 0 else math.inf
+            if math.isinf(high[s] - low[s]):
+                far = not (low[s] < step < high[s] and abs(step) < reach[s])
+                tilt[s] = math.copysign(reach[s], -off) if far else step
+                reach[s] *= 2 if far else 1
+                still.append(s)
+                continue
             tilt[s] = step if low[s] < step < high[s] else (low[s] + high[s]) / 2
-            if high[s] - low[s] > 1e-9:
+            if high[s] - low[s] > 1e-10 * max(10.0, abs(tilt[s])):
                 still.append(s)
         open_ = still
+    for s in asked:
+        off, tilt[s] = best[s]
+        if off > near * goal[s] + sizes[s] / ONE:
+            raise RuntimeError(f"mixing: no rates found for source {s!r} in {steps} steps, {off:.0f} words from its target {goal[s]:.0f}")
     return tilt
 
 

@@ -258,6 +258,38 @@ def test_mixing(spark):
     assert whole.columns == d.columns and whole.count() == sum(r["copies"] for r in got)
 
 
+def test_mixing_long_documents_in_a_hot_source(spark):
+    """A few long documents make the unit large, so ordinary ones need tilts far from 0."""
+    sizes = [40] * 3000 + [30_000] * 3
+    data = [(i, " ".join(["w"] * n), "hot") for i, n in enumerate(sizes)] + [(10_000 + i, " ".join(["w"] * 40), f"s{i % 5}") for i in range(2500)]
+    got = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()
+    target = {r["source"]: r["target"] for r in got}
+    assert target["hot"] < 0.2 * sum(sizes)
+    for s in target:
+        assert abs(sum(r["taken"] for r in got if r["source"] == s) / target[s] - 1) < 0.01
+
+
+@pytest.mark.parametrize("share", [0.0005, 0.08, 0.5, 2.999])
+def test_mixing_tilts_meet_targets(spark, share):
+    hist = [("a", 1, 1_000_000), ("a", 10_000_000, 3), ("b", 300, 300_000), ("b", 1_000_000, 30), ("all", 1, 5), ("all", 1_000_000, 1)]
+    sizes, squares = Counter(), Counter()
+    for s, size, n in hist:
+        sizes[s] += size * n
+        squares[s] += size * size * n
+    units = {s: squares[s] / sizes[s] for s in sizes}
+    goal = {s: (3 if s == "all" else share) * sizes[s] for s in sizes}
+    tilt = mixing.solve(spark.createDataFrame(hist, "source string, size long, n long"), goal, sizes, units)
+    rate = lambda s, size: round(min(3.0, np.exp(min(tilt[s] * size / units[s], 3))) * mixing.ONE) / mixing.ONE
+    for s in goal:
+        assert sum(size * n * rate(s, size) for t, size, n in hist if t == s) == pytest.approx(goal[s], rel=1e-4)
+
+
+def test_mixing_without_rates_raises(spark):
+    hist = spark.createDataFrame([("a", 300, 300_000), ("a", 1_000_000, 30)], "source string, size long, n long")
+    with pytest.raises(RuntimeError, match="no rates found"):
+        mixing.solve(hist, {"a": 9e6}, {"a": 120_000_000}, {"a": 250_225.0}, steps=3)
+
+
 # ---- quality ----
 def brute_statistics(t):
     t = t or ""
