@@ -2,8 +2,11 @@
 
 Bootstrapped extraction. The fixed patterns' matches are seeds. The words
 around a seed make lexical patterns (two words before; one before and one
-after). The same contexts are taken of every other token that has a digit or an
-at sign. Patterns and instances form a graph, on which confidence goes back and
+after). The same contexts are taken of every other token that has five digits or
+an at sign, and of every maximal run of digit groups with spaces in it: an
+identifier may be written in groups. Such a run is one candidate, of 64
+characters at most, and none if a seed overlaps it; marked places that overlap
+become one. Patterns and instances form a graph, on which confidence goes back and
 forth: a pattern's for a kind is the share of its occurrences that are
 instances of the kind, weighted by their confidence; an unseen instance's is
 that of its best pattern. After some rounds the patterns that are confident for
@@ -33,6 +36,10 @@ PATTERNS = [
 WS = r"\x20\x09-\x0D"
 TOKEN = rf"(?<![^{WS}])[^{WS}0-9@]*+[0-9@][^{WS}]*+"
 
+#: Groups of digits with the separators of the card and phone patterns between them.
+GROUPS = r"(?<![A-Za-z0-9])[+(]{0,2}+[0-9]++(?:[\x20().-]++[0-9]++)++"
+BLOCK = 256  # characters, more than a context has
+
 
 def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
@@ -67,6 +74,15 @@ def contexts(before: Column, after: Column) -> Column:
     return F.filter(made, lambda p: p.isNotNull())
 
 
+def _contexts_at(start: Column, end: Column) -> Column:
+    """contexts() of a place in the text whose pieces of BLOCK characters are the column blocks."""
+    piece = lambda at, step: F.coalesce(F.get("blocks", (F.floor(at / BLOCK) + step).cast("int")), F.lit(""))
+    inside = lambda at: (at % BLOCK).cast("int")
+    before = F.concat(piece(start, -1), F.substring(piece(start, 0), F.lit(1), inside(start)))
+    after = F.concat(F.substring(piece(end, 0), inside(end) + 1, F.lit(BLOCK)), piece(end, 1))
+    return contexts(before, after)
+
+
 def scan(docs: DataFrame, rounds: int = 3, least_seeds: int = 8, least_confidence: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base and spans (arrays of struct<start, end, k>, k an index of NAMES) for each row of docs.
 
@@ -76,12 +92,12 @@ def scan(docs: DataFrame, rounds: int = 3, least_seeds: int = 8, least_confidenc
     are not read. An empty table gives an empty table.
     """
     text = F.col("text")
-    df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumns({f"m{k}": found(text, p) for k, p in enumerate(PATTERNS)} | {"t": found(text, TOKEN)})
+    df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumns({f"m{k}": found(text, p) for k, p in enumerate(PATTERNS)} | {"t": found(text, TOKEN), "g": found(text, GROUPS)})
 
     def seeds(k: int) -> Column:
         good = F.filter(placed(text, F.col(f"m{k}"), PATTERNS[k]), lambda s: HOLDS[k](s["m"]))
         some = F.exists(f"m{k}", lambda m: HOLDS[k](m))  # most texts have none, and needn't be split
-        full = F.transform(good, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("k"), s["m"].alias("m"), contexts(s["before"], s["after"]).alias("pats")))
+        full = F.transform(good, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("k"), s["m"].alias("m"), _contexts_at(s["start"], s["end"]).alias("pats")))
         return F.when(some, full).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,k:int,m:string,pats:array<string>>>"))
 
     like = lambda m: (F.length(m).between(6, 64)) & ((F.length(_digits(m)) >= 5) | F.contains(m, F.lit("@")))
@@ -89,11 +105,22 @@ def scan(docs: DataFrame, rounds: int = 3, least_seeds: int = 8, least_confidenc
     def token(s) -> Column:
         lead = F.length(F.regexp_extract(s["m"], r"^[\"'(\[<]*", 0))
         trail = F.length(F.regexp_extract(s["m"], r"[\"')\]>.,;:!?]*$", 0))
-        return F.struct((s["start"] + lead).alias("start"), (s["end"] - trail).alias("end"), F.lit(-1).alias("k"), F.lower(s["m"]).alias("m"), contexts(s["before"], s["after"]).alias("pats"))
+        return F.struct((s["start"] + lead).alias("start"), (s["end"] - trail).alias("end"), F.lit(-1).alias("k"), F.lower(s["m"]).alias("m"), _contexts_at(s["start"], s["end"]).alias("pats"))
 
+    def group(s) -> Column:
+        lead = F.length(F.regexp_extract(s["m"], r"^\((?=[^)]*$)", 0))  # a parenthesis that the run doesn't close
+        return F.struct((s["start"] + lead).alias("start"), s["end"].alias("end"), F.lit(-1).alias("k"), s["m"].alias("m"), _contexts_at(s["start"], s["end"]).alias("pats"))
+
+    spaced = lambda m: like(m) & F.contains(m, F.lit(" "))
     free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    tokens = F.when(F.exists("t", like), F.transform(F.filter(placed(text, F.col("t"), TOKEN), lambda s: like(s["m"])), token)).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,k:int,m:string,pats:array<string>>>"))
-    seen = df.withColumn("base", F.concat(*[seeds(k) for k in range(4)])).withColumn("tokens", F.filter(tokens, free))
+    none = F.array().cast("array<struct<start:bigint,end:bigint,k:int,m:string,pats:array<string>>>")
+    tokens = F.when(F.exists("t", like), F.transform(F.filter(placed(text, F.col("t"), TOKEN), lambda s: like(s["m"])), token)).otherwise(none)
+    groups = F.when(F.exists("g", spaced), F.transform(F.filter(placed(text, F.col("g"), GROUPS), lambda s: spaced(s["m"])), group)).otherwise(none)
+    some = F.exists("t", like) | F.exists("g", spaced)
+    for k in range(len(PATTERNS)):
+        some = some | F.exists(f"m{k}", HOLDS[k])
+    df = df.withColumn("blocks", F.when(some, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))))
+    seen = df.withColumn("base", F.concat(*[seeds(k) for k in range(4)])).withColumn("tokens", F.filter(F.concat(tokens, groups), free))
     seen = cut(seen.select("doc_id", F.xxhash64("text").alias("text_key"), "base", "tokens"))
 
     # occurrences -> edges of the graph: pattern, instance, kind (-1: unseen), count
@@ -122,7 +149,16 @@ def scan(docs: DataFrame, rounds: int = 3, least_seeds: int = 8, least_confidenc
     new = new.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("k", "start", "end")).alias("new")).select(F.col("doc_id").alias("d"), F.col("text_key").alias("tk"), "new")
     both = seen.drop("tokens").join(new, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("tk")), "left")
     plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["k"].alias("k")))
-    added = F.transform(F.array_sort(F.coalesce("new", F.array().cast("array<struct<k:int,start:bigint,end:bigint>>"))), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["k"].alias("k")))
+    spans = "array<struct<start:bigint,end:bigint,k:int>>"
+    ordered = F.array_sort(F.coalesce(F.transform("new", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["k"].alias("k"))), F.array().cast(spans)))
+
+    def merged(done, s):
+        last = F.try_element_at(done, F.lit(-1))
+        both = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), F.when(s["end"] - s["start"] > last["end"] - last["start"], s["k"]).otherwise(last["k"]).alias("k"))
+        return F.when(last["end"] > s["start"], F.concat(F.slice(done, 1, F.size(done) - 1), F.array(both))).otherwise(F.concat(done, F.array(s))).cast(spans)
+
+    whole = F.transform(F.aggregate(ordered, F.array().cast(spans), merged), lambda s: F.struct(s["k"].alias("k"), s["start"].alias("start"), s["end"].alias("end")))
+    added = F.transform(F.array_sort(whole), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["k"].alias("k")))
     return both.select("doc_id", plain.alias("base"), F.concat(plain, added).alias("spans"))
 
 

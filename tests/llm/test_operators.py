@@ -188,6 +188,33 @@ def test_contexts_find_unseen_identifiers(spark):
     assert [pii.NAMES[s["k"]] for s in got[100]["spans"]] == ["like_phone"] and not got[101]["spans"]
 
 
+def test_contexts_find_identifiers_in_groups(spark):
+    seeds = [(i, f"please ring me at +1 (555) 555-{1000 + i} today or so") for i in range(30)]
+    cards = [c for c in (f"4111 1111 1111 {n}" for n in range(1000, 1300)) if any(k == 2 for k, _, _ in pii_spans(c))]
+    seeds += [(50 + i, f"charge my card {c} before the {i} of May") for i, c in enumerate(cards[:30])]
+    unseen = {
+        "please ring me at (017) 555-7713 today or so": [("like_phone", "(017) 555-7713")],
+        "please ring me at 0171 234 5678 today or so": [("like_phone", "0171 234 5678")],
+        "please ring me at (0171 234 5678) today or so": [("like_phone", "0171 234 5678")],
+        "é😀 " * 200 + "in 2019 please ring me at 0171-234 56 78.": [("like_phone", "0171-234 56 78")],
+        "charge my card 4111 1111 1111 1112 before it ends": [("like_card", "4111 1111 1111 1112")],
+        "room (017) 555-7713 is free": [],
+        "1 2 ring 3 me at 0171 234 5678 today": [("like_phone", "0171 234 5678")],
+    }
+    data = seeds + [(100 + i, t) for i, t in enumerate(unseen)]
+    got = {r["doc_id"]: r for r in pii.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    for i, (t, want) in enumerate(unseen.items()):
+        spans = [(pii.NAMES[s["k"]], t[s["start"] : s["end"]]) for s in got[100 + i]["spans"]]
+        assert spans == want, t
+
+
+def test_contexts_reach_past_other_numbers(spark):
+    """Contexts are words of the text, whatever other digits are near."""
+    data = [(i, f"line 2 at +1 (555) 555-{1000 + i} today") for i in range(30)] + [(100, "line 2 at 0171 234 5678 today"), (101, "desk 7 at 0171 234 5678 now")]
+    got = {r["doc_id"]: r for r in pii.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert [(pii.NAMES[s["k"]], s["start"], s["end"]) for s in got[100]["spans"]] == [("like_phone", 10, 23)] and not got[101]["spans"]
+
+
 # ---- toxicity ----
 def test_restoring(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + i, "the stupid idiot and the pathetic loser said trash to a moron") for i in range(300)], "doc_id long, text string"))
