@@ -157,6 +157,17 @@ def _floor(s, sf):
 query("floor_lookup", _floor, f'WITH {ORDERS_SQL} SELECT o."row", o.ck, (SELECT max(c_custkey) FROM customer WHERE c_custkey % 37 = 5 AND c_custkey <= o.ck) AS floor FROM orders_w o')
 
 
+def _floor_dates(s, sf):
+    """For each order's day, the last day up to it on which any line was shipped."""
+    points = orders(s, sf).select("row", F.unix_date(F.to_date(F.col("d").cast("string"), "yyyyMMdd")).cast("long").alias("day"))
+    steps = s.read.parquet(f"{sf}/lineitem.parquet").select(F.unix_date(F.to_date("l_shipdate")).cast("long").alias("k")).distinct()
+    return floor_lookup(points, steps, "day", "k", 64)
+
+
+query("floor_lookup_whole", _floor_dates, """WITH o AS (SELECT o_orderkey AS "row", CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS day FROM orders), k AS (SELECT DISTINCT CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS k FROM lineitem)
+    SELECT o."row", o.day, k.k AS floor FROM o ASOF LEFT JOIN k ON o.day >= k.k""")
+
+
 def _two_sides(s, sf):
     a = orders(s, sf).select("row", F.col("t").alias("v")).filter("row % 11 <> 3")
     b = orders(s, sf).select("row", F.when(F.col("row") % 13 == 1, F.col("t") + 1).otherwise(F.col("t")).alias("v")).filter("row % 17 <> 5")

@@ -58,8 +58,24 @@ def _join(how, sql_how):
     query(f"join_{how}", make, sql)
 
 
+def _join_whole(how, sql_how):
+    """All orders and all lines by whole prices; each side has prices of its own."""
+
+    def make(s, sf):
+        o, l = _read(s, sf, "orders", "lineitem")
+        o = o.groupBy(F.floor("o_totalprice").cast("long").alias("k")).agg(F.count("*").alias("n"))
+        l = l.groupBy(F.floor("l_extendedprice").cast("long").alias("pk")).agg(F.count("*").alias("lines"))
+        out = o.join(l, o.k == l.pk, how)
+        return out.select("k", "n") if how in ("left_semi", "left_anti") else out
+
+    sql = "WITH o AS (SELECT CAST(floor(o_totalprice) AS BIGINT) AS k, count(*) AS n FROM orders GROUP BY 1), l AS (SELECT CAST(floor(l_extendedprice) AS BIGINT) AS pk, count(*) AS lines FROM lineitem GROUP BY 1) "
+    sql += {"left_semi": "SELECT k, n FROM o WHERE k IN (SELECT pk FROM l)", "left_anti": "SELECT k, n FROM o WHERE k NOT IN (SELECT pk FROM l)"}.get(how, f"SELECT k, n, pk, lines FROM o {sql_how} JOIN l ON o.k = l.pk")
+    query(f"join_whole_{how}", make, sql)
+
+
 for how, sql_how in (("inner", ""), ("left", "LEFT"), ("right", "RIGHT"), ("full", "FULL"), ("left_semi", ""), ("left_anti", "")):
     _join(how, sql_how)
+    _join_whole(how, sql_how)
 query("agg_cube", lambda s, sf: _read(s, sf, "lineitem")[0].cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n")), "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 query("agg_rollup", lambda s, sf: _read(s, sf, "part")[0].rollup("p_brand", "p_type").agg(F.count("*").alias("n"), F.max("p_size").alias("top")), "SELECT p_brand, p_type, count(*) AS n, max(p_size) AS top FROM part GROUP BY ROLLUP (p_brand, p_type)")
 query("agg_having", lambda s, sf: _read(s, sf, "orders")[0].groupBy("o_custkey").agg(F.count("*").alias("n")).filter("n > 12"), "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 12")

@@ -6,6 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from rowlattice import queries
 from rowlattice.functions import codecs as c
 from rowlattice.functions import visibility
 from rowlattice.functions.zorder import box_ranges, zip_int
@@ -258,3 +259,14 @@ def test_zip_and_unzip(spark, d, bits):
     z = df.withColumn("z", zip_bits([F.col("p")[i] for i in range(d)], bits))
     for r in z.select("p", "z", F.array(*[unzip(F.col("z"), i, d, bits) for i in range(d)]).alias("back")).collect():
         assert r["z"] == zip_int(r["p"], bits) and r["back"] == r["p"]
+
+
+def test_whole_table_queries(spark, sf):
+    """No id prefix and no modulo filter: every order is there, and joins have keys of either side and of both."""
+    queries.load()
+    q = {n: f(spark, sf) for n, f in queries.QUERIES.items() if "whole" in n}
+    n_orders = spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert q["cells_from_wide_whole"].select("row").distinct().count() == q["floor_lookup_whole"].count() == n_orders
+    full = q["join_whole_full"].collect()
+    assert sum(r["n"] or 0 for r in full) == n_orders
+    assert {(r["k"] is None, r["pk"] is None) for r in full} == {(False, False), (False, True), (True, False)}
