@@ -11,15 +11,21 @@ shared shingles also bound the overlap from above.
 
 Documents with equal sets are one node. Pairs that share a rare prefix shingle
 come from a join on short lists; lists of more than LONG documents have a path
-of their own. There, a list is compared with one of its documents at a time
-(a star), and what is not in the largest component by then is compared with
-the rest in blocks, of which only links come out. So groups of thousands of near
-copies emit no lists of pairs, and no link between components is lost.
+of their own. There, a list is compared with some of its documents at a time
+(stars), and what is not in the largest component by then is compared with the
+rest in blocks: by prefixes with as many matches as both ask for, then by whole
+sets. A block emits only links that join components, and none twice, so groups
+of thousands of near copies emit no lists of pairs and no component is lost.
 Every pair that links two documents is verified on whole sets.
+
+Shingles are known by 64-bit hashes, which are not compared with the words: of
+n different shingles, two share a hash with a chance of about n * n / 2**65,
+and it changes a result only if it tips a pair that is at the threshold.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +35,13 @@ from pyspark.sql import functions as F
 
 from rowlattice.llm._common import attach_groups, cut, one_row_each, small_batches, small_side, table, without
 from rowlattice.llm._words import Block, blocks, mix
-from rowlattice.llm.graph import components
+from rowlattice.llm.graph import components, labelled, merged
 
 #: Frequent shingles are those of more than LONG documents, and of at least as many as leave no more than FREQUENT of them; they are broadcast.
 FREQUENT = 1 << 22
 LONG = 16
 MOST_EXTRA = 3
-STARS = 1
+STARS = 3
 BROADCAST_IDS, BROADCAST_PAIRS = 1_000_000, 400_000
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
@@ -241,89 +247,128 @@ def rare_candidates(met: DataFrame, facts: DataFrame, percent: int) -> DataFrame
     return _with_facts(pairs, facts).filter(_possible(percent)).select("a", "b")
 
 
-def _heads(now: DataFrame, step: int, n_rows: int) -> DataFrame:
-    """now with hid, hn, hc: of each list one document, chosen by hash, its size and component."""
-    heads = now.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(step), "id").alias("h"), "id", F.col("n").alias("n"), F.col("component").alias("component"))).alias("head"), F.count("*").alias("size")).select("token", F.col("head.id").alias("hid"), F.col("head.n").alias("hn"), F.col("head.component").alias("hc"), "size")
-    return attach_groups(now, cut(heads), ["token"], "size", n_rows, "id")
+def _heads(now: DataFrame, step: int, n_rows: int, heads: int = 1) -> DataFrame:
+    """now with hid, hn, hc: `heads` documents of each list, chosen by hash, their sizes and components."""
+    least = lambda j: F.min(F.struct(F.xxhash64(F.lit(step), F.lit(j), "id").alias("h"), F.col("id").alias("hid"), F.col("n").alias("hn"), F.col("component").alias("hc")))
+    made = now.groupBy("token").agg(F.array(*[least(j) for j in range(heads)]).alias("heads"), F.count("*").alias("size"))
+    return attach_groups(now, cut(made), ["token"], "size", n_rows, "id").withColumn("head", F.explode("heads")).select("token", "id", "n", "component", "head.hid", "head.hn", "head.hc")
 
 
-def frequent_links(lists: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """links and those found through long lists (token, id, n), enough to give all components.
+def frequent_labels(lists: DataFrame, prefixed: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """id, component by links and by what long lists (token, id, n) add; prefixed has id, ell and prefix.
 
-    Stars come first. Documents that long lists connect are a cluster; those
-    outside its largest component are then compared with all of it, in blocks.
+    Stars come first, with new heads in each round, until a round joins less
+    than a twentieth of the components. Documents that long lists connect are a
+    cluster; those outside its largest component are then compared with all of
+    it, in blocks.
     """
     n_rows = lists.count()
-    known = links
-
-    def labelled() -> DataFrame:
-        label = components(known).select(F.col("id").alias("__id"), "component")
-        return cut(lists.join(label, F.col("id") == F.col("__id"), "left").select("id", "n", "token", F.coalesce("component", "id").alias("component")))
-
-    now = labelled()
-    for step in range(STARS):
-        star = _heads(now, step, n_rows).filter((F.col("hc") != F.col("component")) & _near_sizes(F.col("n"), F.col("hn"), percent))
-        known = known.unionByName(cut(verified(cut(star.select(F.col("hid").alias("a"), F.col("id").alias("b")).distinct()), sets, percent)))
-        now = labelled()
-    near = _heads(now, 0, n_rows).select(F.col("hid").alias("a"), F.col("id").alias("b")).distinct()
-    cluster = components(near).select(F.col("id").alias("__id"), F.col("component").alias("cluster"))
-    placed = cut(now.select("id", "component").distinct().join(cluster, F.col("id") == F.col("__id")).select("id", "component", "cluster"))
-    return known.unionByName(block_links(placed, sets, percent))
-
-
-def block_links(placed: DataFrame, sets: DataFrame, percent: int, left: int = 256, right: int = 1024) -> DataFrame:
-    """a, b: links between different components of one cluster (placed: id, component, cluster).
+    labels, before, step = components(links), None, 0
+    while True:
+        now = cut(labelled(lists, labels, "id", "component"))
+        left = now.select("component").distinct().count()
+        if before is not None and (before - left) * 20 < before:
+            break
+        star = _heads(now, step, n_rows, STARS).filter((F.col("hc") != F.col("component")) & _near_sizes(F.col("n"), F.col("hn"), percent))
+        found = cut(verified(cut(star.select(F.col("hid").alias("a"), F.col("id").alias("b")).distinct()), sets, percent))
+        labels, before, step = merged(labels, found), left, step + 1
+    near = _heads(now, 0, n_rows).filter("hc <> component").select(F.least("hc", "component").alias("a"), F.greatest("hc", "component").alias("b")).distinct()
+    cluster = components(cut(near))
+    placed = labelled(now.select("id", "n", "component").distinct(), cluster, "component", "cluster")
+    placed = cut(placed.join(prefixed.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id")).drop("__id"))
+    return merged(labels, cut(block_links(placed, sets, percent)))
+
+
+def block_links(placed: DataFrame, sets: DataFrame, percent: int, left: int = 256, right: int = 1024, banded: int = 8192) -> DataFrame:
+    """a, b: links that join the different components of each cluster (placed: id, n, component, cluster, ell, prefix).
 
     Documents outside the cluster's largest component, in blocks of about
-    `left`, against all its documents, in blocks of about `right`. Two blocks
-    meet in one task, which indexes the first and streams the second past it;
-    nothing but links comes out.
+    `left`, against all its documents, in blocks of about `right`. In a cluster
+    of more than `banded` documents blocks hold one band of sizes, and meet the
+    neighbouring bands alone. Two blocks meet in one task, which indexes the
+    first and streams the second past it. Pairs whose prefixes share fewer
+    shingles than both ask for are left out; so are pairs that links found
+    there have joined already, so that a task emits less than one link for each
+    component it has met, however many of its documents are alike.
     """
     parts = placed.groupBy("cluster", "component").agg(F.count("*").alias("k"))
-    facts = cut(parts.groupBy("cluster").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("size"), F.max("k").alias("most")).filter("size > most").select(F.col("cluster").alias("__c"), "main", F.ceil((F.col("size") - F.col("most")) / left).cast("long").alias("nl"), F.ceil(F.col("size") / right).cast("long").alias("nr")))
-    rows = placed.join(small_side(facts, facts.count()), F.col("cluster") == F.col("__c")).withColumn("main", F.col("component") == F.col("main")).drop("__c")
+    mains = cut(parts.groupBy("cluster").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("size"), F.max("k").alias("most")).filter("size > most").select(F.col("cluster").alias("__c"), "main", (F.col("size") > banded).alias("banded")))
+    rows = placed.join(small_side(mains, mains.count()), F.col("cluster") == F.col("__c")).withColumn("main", F.col("component") == F.col("main"))
+    band = F.when(F.col("banded"), F.floor(F.log(F.col("n").cast("double")) / (1.0001 * math.log(100 / percent)))).otherwise(0).cast("int")
+    role = lambda b, side: F.struct(b.cast("int").alias("band"), F.lit(side).alias("side"))
+    roles = F.concat(F.when(F.col("main"), F.array().cast("array<struct<band:int,side:int>>")).otherwise(F.array(role(band, 0))), F.when(F.col("banded"), F.array(*[role(band + k, 1) for k in (-1, 0, 1)])).otherwise(F.array(role(band, 1))))
+    dealt = cut(rows.select("id", "cluster", "component", "main", "ell", "prefix", F.explode(roles).alias("role")).select("id", "cluster", "component", "main", "ell", "prefix", "role.*"))
+    facts = cut(dealt.groupBy(F.col("cluster").alias("__c"), F.col("band").alias("__b")).agg(F.ceil(F.sum(1 - F.col("side")) / left).cast("long").alias("nl"), F.ceil(F.sum("side") / right).cast("long").alias("nr")).filter("nl > 0"))
+    dealt = dealt.join(small_side(facts, facts.count()), (F.col("cluster") == F.col("__c")) & (F.col("band") == F.col("__b")))
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    one = rows.filter("NOT main").select("cluster", block("nl").alias("l"), every("nr").alias("r"), F.lit(0).alias("side"), "id", "component", "main")
-    two = rows.select("cluster", every("nl").alias("l"), block("nr").alias("r"), F.lit(1).alias("side"), "id", "component", "main")
-    dealt = one.unionByName(two).join(sets.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id")).select("cluster", "l", "r", "side", "id", "component", "main", "hashes")
-    dealt = dealt.repartition("cluster", "l", "r").sortWithinPartitions("cluster", "l", "r", "side")
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    meets = F.when(F.col("side") == 0, F.transform(every("nr"), lambda r: F.struct(block("nl").alias("l"), r.alias("r")))).otherwise(F.transform(every("nl"), lambda l: F.struct(l.alias("l"), block("nr").alias("r"))))
+    dealt = dealt.join(sets.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id")).withColumn("meet", F.explode(meets))
+    keys = ["cluster", "band", "l", "r"]
+    dealt = dealt.select("cluster", "band", "meet.l", "meet.r", "side", "id", "component", "main", "ell", "prefix", "hashes").repartition(*keys).sortWithinPartitions(*keys, "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, parts_, held, index = None, [], [], [], None
+        key, ids, parts_, ells, pres, held, index = None, [], [], [], [], [], None
+        up: dict[int, int] = {}  # of components, in all blocks of the task
+
+        def root(c: int) -> int:
+            while (p := up.get(c, c)) != c:
+                up[c] = c = up.get(p, p)
+            return c
+
         for batch in batches:
             out_a, out_b = [], []
-            for c, l, r, side, i, part, main, raw in zip(*(batch.column(k).to_pylist() for k in range(7)), batch.column(7), strict=True):
-                other = np.frombuffer(raw.as_buffer(), np.uint64)
-                if (c, l, r) != key:
-                    key, ids, parts_, held, index = (c, l, r), [], [], [], None
+            offsets, flat = batch.column(9).offsets.to_numpy(), batch.column(9).values.to_numpy()
+            for row, (*where, side, i, part, main, ell) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(9)), strict=True)):
+                if where != key:
+                    key, ids, parts_, ells, pres, held, index = where, [], [], [], [], [], None
+                pre = flat[offsets[row] : offsets[row + 1]]
                 if side == 0:
                     ids.append(i)
                     parts_.append(part)
-                    held.append(np.array(other))
+                    ells.append(ell)
+                    pres.append(np.array(pre))
+                    held.append(np.array(np.frombuffer(batch.column(10)[row].as_buffer(), np.uint64)))
                     continue
                 if not ids:
                     continue
                 if index is None:
-                    tokens = np.concatenate(held)
-                    sizes = np.fromiter(map(len, held), np.int64, len(held))
-                    order = np.argsort(tokens, kind="stable")
-                    index = (tokens[order], np.repeat(np.arange(len(held)), sizes)[order], sizes, np.asarray(ids), np.asarray(parts_))
-                tokens, of, sizes, left_ids, left_parts = index
-                lo, hi = np.searchsorted(tokens, other, "left"), np.searchsorted(tokens, other, "right")
-                n = hi - lo
-                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                common = np.bincount(of[at], minlength=len(sizes))
-                hit = (100 * common >= percent * (sizes + len(other) - common)) & (left_parts != part)
-                hit &= (left_ids < i) | main
-                for x in left_ids[hit].tolist():
-                    out_a.append(min(x, i))
-                    out_b.append(max(x, i))
+                    index = _Lists(pres), _Lists(held), np.fromiter(map(len, held), np.int64, len(held)), np.asarray(ids), np.asarray(ells)
+                short, whole, sizes, left_ids, left_ells = index
+                maybe = (short.common(pre) >= np.minimum(left_ells, ell)) & ((left_ids < i) | main)
+                mine = root(part)
+                maybe[maybe] = [root(parts_[x]) != mine for x in np.flatnonzero(maybe)]
+                if not maybe.any():
+                    continue
+                other = np.frombuffer(batch.column(10)[row].as_buffer(), np.uint64)
+                common = whole.common(other)
+                for x in np.flatnonzero(maybe & (100 * common >= percent * (sizes + len(other) - common))).tolist():
+                    if (theirs := root(parts_[x])) != root(part):
+                        up[theirs] = root(part)
+                        out_a.append(min(ids[x], i))
+                        out_b.append(max(ids[x], i))
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
+class _Lists:
+    """Inverted lists of some arrays of distinct numbers."""
+
+    def __init__(self, arrays: list[np.ndarray]):
+        self.n = len(arrays)
+        tokens = np.concatenate(arrays)
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.of = tokens[order], np.repeat(np.arange(self.n), [len(a) for a in arrays])[order]
+
+    def common(self, other: np.ndarray) -> np.ndarray:
+        """How many numbers each array shares with other, whose numbers are distinct."""
+        lo, hi = np.searchsorted(self.tokens, other, "left"), np.searchsorted(self.tokens, other, "right")
+        n = hi - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(self.of[at], minlength=self.n)
+
+
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: a row for each row of docs.
 
@@ -357,8 +402,11 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     sets = cut(sets.dropDuplicates(["id"]) if repeated else sets)
     links = cut(verified(pairs, sets, percent))
     if many:
-        links = cut(frequent_links(cut(met.filter(F.col("n_t") > LONG).select("id", "n", "token")), sets, links, percent))
-    label = components(links).select(F.col("id").alias("__id"), "component")
+        prefixed = nodes.join(often_met.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id"), "left_semi").select("id", "ell", F.concat("light", "heavy").alias("prefix"))
+        label = frequent_labels(cut(met.filter(F.col("n_t") > LONG).select("id", "n", "token")), prefixed, sets, links, percent)
+    else:
+        label = components(links)
+    label = label.select(F.col("id").alias("__id"), "component")
     groups = filled.groupBy(*keys).agg(F.min("doc_id").alias("id"), F.count("*").alias("size"))
     groups = groups.join(label, F.col("id") == F.col("__id"), "left").select(*keys, F.coalesce("component", "id").alias("component_id"), "size").filter("size > 1 OR component_id IS NOT NULL")
     out = attach_groups(rows.select("doc_id", *keys), cut(groups), keys, "size", rows.count(), "doc_id")

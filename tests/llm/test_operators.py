@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rowlattice.llm import exact_dedup, jaccard, line_dedup, mixing, packing, pii, quality, secrets, sharding, toxicity
 from rowlattice.llm._words import Block
-from rowlattice.llm.graph import components
+from rowlattice.llm.graph import components, merged
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n long, kept boolean, row string, shard int, size long, component long"
@@ -431,6 +431,37 @@ def test_near_groups(spark, size, percent):
     assert got == brute_components(texts, size, percent)
 
 
+def test_block_links_follow_the_input(spark):
+    """A group of near copies gives one link for each component that a block meets, not one for each pair."""
+    rnd = np.random.default_rng(8)
+
+    def links(n):
+        sets = [np.unique(np.concatenate([np.arange(1, 90, dtype=np.uint64), rnd.integers(1000, 10**6, 3).astype(np.uint64)])) for _ in range(n)]
+        rows = [(i, len(s), i, 0, 1, [int(x) for x in s[:20]]) for i, s in enumerate(sets)]
+        placed = spark.createDataFrame(rows, "id long, n int, component long, cluster long, ell int, prefix array<long>")
+        whole = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "id long, hashes binary")
+        got = [(r["a"], r["b"]) for r in jaccard.block_links(placed, whole, 85, left=64, right=128, banded=100).collect()]
+        label = {r["id"]: r["component"] for r in components(spark.createDataFrame(got, "a long, b long")).collect()}
+        assert label == dict.fromkeys(range(n), 0)
+        return len(got) / n
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert links(400) < tasks and links(800) < tasks  # all pairs would be 200 and 400 links a document
+
+
+def test_merged_labels(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5)], "id long, component long")
+    got = {r["id"]: r["component"] for r in merged(labels, spark.createDataFrame([(2, 6), (1, 5), (9, 8)], "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 5: 1, 6: 1, 8: 8, 9: 8}
+
+
+def test_components_with_many_labels(spark, monkeypatch):
+    monkeypatch.setattr("rowlattice.llm.graph.BROADCAST_LABELS", 3)
+    edges = [(0, i) for i in range(1, 30)] + [(i, i + 1) for i in range(40, 60)]
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(30), 0) | dict.fromkeys(range(40, 61), 40)
+
+
 def test_one_of_each(docs):
     left = jaccard.one_of_each(docs)
     want = {c for _, c in brute_components({r[0]: r[1] for r in rows()}, 5, 80).values()}
