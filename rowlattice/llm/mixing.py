@@ -5,46 +5,55 @@ divergence from one copy each, under the constraint that the taken words meet
 the source's target and that no rate is above `cap`. The solution is an
 exponential tilt, r = min(cap, exp(lambda * size / unit)), with one dual
 variable for each source. Newton steps on the convex dual find it: each step is
-one aggregation over the (source, size) histogram; the driver holds one row for
-each source. Rates are fixed-point numbers, so that sums are exact and reruns
-agree. They become copies by error diffusion, from long to short documents, in
-cells of about `cell_docs` documents of one source.
+one aggregation over the (source, size) histogram, and the dual variables are a
+table themselves, so the driver holds single numbers however many sources there
+are. Rates are fixed-point numbers, so that sums are exact and reruns agree.
+They become copies by error diffusion, from long to short documents, in cells
+of about `cell_docs` documents of one source.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowlattice.llm._common import WORD, cut, local_rows, small_side, table
+from rowlattice.llm._common import WORD, attach_groups, cut, small_side, table
 
 ONE = 1 << 20  # a rate of 1
+#: Up to so many sources are broadcast.
+BROADCAST_SOURCES = 100_000
 
 
-def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> dict[str | None, float]:
-    """Target words of each source.
+def ranked(sources: DataFrame) -> DataFrame:
+    """sources (source, ...) with rank: its place from 0 in code-point order, null last; no task has more than about BROADCAST_SOURCES of them."""
+    order = F.col("source").asc_nulls_last()
+    parts = max(1, -(-sources.count() // BROADCAST_SOURCES))
+    placed = cut(sources.repartitionByRange(parts, order).withColumn("__part", F.spark_partition_id()))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each partition
+    offsets = placed.groupBy(F.col("__part").alias("__p")).agg(F.count("*").alias("__n")).select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(order))
+    return placed.join(F.broadcast(offsets), F.col("__part") == F.col("__p")).withColumn("rank", F.col("__offset") + inside - 1).drop("__part", "__p", "__offset")
+
+
+def with_targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
+    """sources (source, words, ...) with target: the words to take.
 
     Sources in code-point order, null last, weigh `weights`, repeating, and
-    share the sum of all sizes. A target stops at cap times its source's size;
+    share the sum of all words. A target stops at cap times its source's words;
     what is left over goes to the others by weight until none is above.
     """
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    out: dict[str | None, float] = {}
-    left, open_ = float(sum(sizes.values())), list(order)
-    while open_:
-        share = left / sum(weight[s] for s in open_)
-        above = [s for s in open_ if share * weight[s] > cap * sizes[s]]
-        if not above:
-            out |= {s: share * weight[s] for s in open_}
-            break
-        for s in above:
-            out[s] = float(cap * sizes[s])
-            left -= out[s]
-        open_ = [s for s in open_ if s not in out]
-    return out
+    of = F.get(F.array(*[F.lit(w) for w in weights]), (F.col("rank") % len(weights)).cast("int"))
+    state = cut(ranked(sources).withColumn("weight", of).drop("rank").withColumn("full", F.lit(False)))
+    most = (F.col("words") * cap).cast("decimal(38,0)")
+    while True:
+        total, gone, open_ = state.agg(F.sum(F.col("words").cast("decimal(38,0)")), F.sum(F.when(F.col("full"), most)), F.sum(F.when(~F.col("full"), F.col("weight")))).first()
+        share = float((total or 0) - (gone or 0)) / open_ if open_ else 0.0
+        above = ~F.col("full") & (F.lit(share) * F.col("weight") > cap * F.col("words"))
+        if state.filter(above).isEmpty():
+            return state.withColumn("target", F.when(F.col("full"), most.cast("double")).otherwise(F.lit(share) * F.col("weight"))).drop("full", "weight")
+        state = cut(state.withColumn("full", F.col("full") | above))
 
 
 def _rate(tilt, size, unit, cap: int):
@@ -53,84 +62,74 @@ def _rate(tilt, size, unit, cap: int):
     return F.least(F.lit(cap * ONE).cast("long"), F.round(F.exp(x) * ONE).cast("long"))
 
 
-def solve(hist: DataFrame, goal: dict[str | None, float], sizes: dict[str | None, int], units: dict[str | None, float], cap: int = 3, steps: int = 60, near: float = 1e-5) -> dict[str | None, float]:
-    """The dual variable of each source, by safeguarded Newton steps (bisection where a step leaves its bracket).
+def _beside(rows: DataFrame, sources: DataFrame, n: int, n_rows: int, spread: str) -> DataFrame:
+    """rows with the columns of their source's row; sources has rows_of, how many of them a source has, and n rows."""
+    if n <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(sources.withColumnRenamed("source", "__source")), F.col("source").eqNullSafe(F.col("__source"))).drop("__source", "rows_of")
+    return attach_groups(rows, cut(sources), ["source"], "rows_of", n_rows, spread).drop("rows_of")
+
+
+def solve(hist: DataFrame, sources: DataFrame, cap: int = 3, steps: int = 200, near: float = 1e-5) -> DataFrame:
+    """sources (source, words, unit, target, rows_of: rows of hist) with tilt: the dual variable, by safeguarded Newton steps (bisection where a step leaves its bracket).
 
-    A bracket has no end on a side until a measured tilt is past the target
-    there; steps to an open side reach twice as far each time, as long documents
-    make the unit large and the tilts that ordinary ones need with it. Where
-    fixed-point rates can't meet a target to `near`, the nearest tilt is taken.
-    RuntimeError if that is off by more than the rates' rounding.
+    hist: source, size, n. A bracket has no end on a side until a measured tilt
+    is past the target there; steps to an open side reach twice as far each
+    time, as long documents make the unit large and the tilts that ordinary ones
+    need with it. Where fixed-point rates can't meet a target to `near`, the
+    nearest tilt is taken. RuntimeError if that is off by more than the rates'
+    rounding.
     """
-    spark = hist.sparkSession
-    tilt = {s: 0.0 for s in goal}
-    low, high, reach = {s: -math.inf for s in goal}, {s: math.inf for s in goal}, {s: 60.0 for s in goal}
-    best = {s: (math.inf, 0.0) for s in goal}  # distance from the target, tilt
-    open_ = [s for s in goal if sizes[s] and goal[s] < cap * sizes[s] * (1 - 1e-9)]
-    asked = list(open_)
-    tilt |= {s: (math.log(cap) + 1) * units[s] for s in goal if s not in open_}  # cap copies of everything
+    n, n_rows = sources.count(), hist.count()
+    col, inf = F.col, F.lit(math.inf)
+    asked = (col("words") > 0) & (col("target") < cap * col("words") * (1 - 1e-9))
+    # a source that isn't asked takes cap copies of everything
+    start = F.when(asked, F.lit(0.0)).otherwise((math.log(cap) + 1) * col("unit"))
+    state = cut(sources.withColumns({"asked": asked, "open": asked, "tilt": start, "best": start, "best_off": F.when(asked, inf).otherwise(F.lit(0.0)), "low": -inf, "high": inf, "reach": F.lit(60.0)}))
     for _ in range(steps):
-        if not open_:
+        if state.filter("open").isEmpty():
             break
-        now = local_rows(spark, [{"k": s, "tilt": tilt[s], "unit": units[s]} for s in open_], "k string, tilt double, unit double")
-        rate = _rate(F.col("tilt"), F.col("size"), F.col("unit"), cap)
-        words = (F.col("n") * F.col("size")).cast("decimal(38,0)")
-        got = (
-            hist.join(small_side(now, len(open_)), F.col("source").eqNullSafe(F.col("k")))
-            .withColumn("r", rate)
-            .groupBy("source")
-            .agg(F.sum(words * F.col("r")).alias("taken"), F.sum(F.when(F.col("r") < cap * ONE, words * F.col("r") * F.col("size"))).alias("slope"))
-            .collect()
-        )
-        still = []
-        for row in got:
-            s = row["source"]
-            off = float(row["taken"]) / ONE - goal[s]
-            slope = float(row["slope"] or 0) / ONE / units[s]
-            best[s] = min(best[s], (abs(off), tilt[s]))
-            if abs(off) <= near * goal[s]:
-                continue
-            low[s], high[s] = (low[s], tilt[s]) if off > 0 else (tilt[s], high[s])
-            step = tilt[s] - off / slope if slope > 0 else math.inf
-            if math.isinf(high[s] - low[s]):
-                far = not (low[s] < step < high[s] and abs(step) < reach[s])
-                tilt[s] = math.copysign(reach[s], -off) if far else step
-                reach[s] *= 2 if far else 1
-                still.append(s)
-                continue
-            tilt[s] = step if low[s] < step < high[s] else (low[s] + high[s]) / 2
-            if high[s] - low[s] > 1e-10 * max(10.0, abs(tilt[s])):
-                still.append(s)
-        open_ = still
-    for s in asked:
-        off, tilt[s] = best[s]
-        if off > near * goal[s] + sizes[s] / ONE:
-            raise RuntimeError(f"mixing: no rates found for source {s!r} in {steps} steps, {off:.0f} words from its target {goal[s]:.0f}")
-    return tilt
+        words = (col("n") * col("size")).cast("decimal(38,0)")
+        tried = _beside(hist, state.filter("open").select("source", "tilt", "unit", "rows_of"), n, n_rows, "size").withColumn("r", _rate(col("tilt"), col("size"), col("unit"), cap))
+        got = tried.groupBy(col("source").alias("__source")).agg(F.sum(words * col("r")).cast("double").alias("taken"), F.sum(F.when(col("r") < cap * ONE, words * col("r") * col("size"))).cast("double").alias("slope"))
+        now = state.join(small_side(got, n, BROADCAST_SOURCES), col("source").eqNullSafe(col("__source")) & col("open"), "left").drop("__source")
+        now = now.withColumns({"off": col("taken") / ONE - col("target"), "slope": F.coalesce(col("slope"), F.lit(0.0)) / ONE / col("unit")})
+        better = F.abs("off") < col("best_off")
+        now = now.withColumns({"best": F.when(better, col("tilt")).otherwise(col("best")), "best_off": F.when(better, F.abs("off")).otherwise(col("best_off")), "low": F.when(col("off") <= 0, col("tilt")).otherwise(col("low")), "high": F.when(col("off") > 0, col("tilt")).otherwise(col("high"))})
+        now = now.withColumn("step", F.when(col("slope") > 0, col("tilt") - col("off") / col("slope")).otherwise(inf))
+        within = (col("low") < col("step")) & (col("step") < col("high"))
+        endless = (col("low") == -inf) | (col("high") == inf)
+        far = endless & ~(within & (F.abs("step") < col("reach")))
+        tilt = F.when(far, -F.signum("off") * col("reach")).when(within, col("step")).otherwise((col("low") + col("high")) / 2)
+        more = (F.abs("off") > near * col("target")) & (endless | (col("high") - col("low") > 1e-10 * F.greatest(F.lit(10.0), F.abs(tilt))))
+        state = cut(now.select(*[c for c in state.columns if c not in ("open", "tilt", "reach")], (col("open") & F.coalesce(more, F.lit(False))).alias("open"), F.when(col("open"), tilt).otherwise(col("tilt")).alias("tilt"), F.when(F.coalesce(far, F.lit(False)), col("reach") * 2).otherwise(col("reach")).alias("reach")))
+    missed = state.filter(col("asked") & (col("best_off") > near * col("target") + col("words") / ONE)).first()
+    if missed:
+        raise RuntimeError(f"mixing: no rates found for source {missed['source']!r} in {steps} steps, {missed['best_off']:.0f} words from its target {missed['target']:.0f}")
+    return state.select(*sources.columns, col("best").alias("tilt"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, cell_docs: int = 512, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies, taken: a row for each row of docs.
+    """doc_id, source, text_key, size, source_size, target, rate, copies, taken: a row for each row of docs.
 
     size counts the words of the text (a null text has none). A document
     without words has one copy, which adds nothing. Rows that repeat a doc_id,
-    source and size have the same copies. A null source is a source of its own.
-    An empty table gives an empty table. Other columns are not read.
+    source and text have the same copies; of equally long documents the one with
+    the larger doc_id is rounded first. A null source is a source of its own.
+    An empty table gives an empty table. Other columns are not read, so their
+    names may clash. A text and its words are in memory at once.
     """
-    spark = docs.sparkSession
     size = F.coalesce(F.size(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))), F.lit(0)).cast("long")
     size = F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(size)
-    rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")))
+    rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text_col).alias("text_key"), size.alias("size")).groupBy("doc_id", "source", "text_key", "size").agg(F.count("*").alias("n")))
     hist = cut(rows.groupBy("source", "size").agg(F.sum("n").alias("n"), F.count("*").alias("items")))
-    stats = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum((F.col("size") * F.col("size")).cast("decimal(38,0)") * F.col("n")).alias("squares"), F.sum("items").alias("items")).collect()
-    sizes = {r["source"]: r["words"] for r in stats}
-    goal = targets(sizes, weights, cap)
-    units = {r["source"]: max(1.0, float(r["squares"]) / r["words"]) if r["words"] else 1.0 for r in stats}
-    tilt = solve(hist, goal, sizes, units, cap)
-    known = local_rows(spark, [{"k": r["source"], "tilt": tilt[r["source"]], "unit": units[r["source"]], "cells": -(-r["items"] // cell_docs), "source_size": sizes[r["source"]], "target": goal[r["source"]]} for r in stats], "k string, tilt double, unit double, cells long, source_size long, target double")
-    items = rows.join(small_side(known, len(stats)), F.col("source").eqNullSafe(F.col("k")))
-    items = items.select("doc_id", "source", "size", "n", "source_size", "target", _rate(F.col("tilt"), F.col("size"), F.col("unit"), cap).alias("rate"), F.pmod(F.xxhash64("doc_id", "size"), F.col("cells")).alias("cell"))
-    cells = items.groupBy("source", "cell", "source_size", "target").agg(F.sort_array(F.collect_list(F.struct((F.col("size") * F.col("n")).alias("words"), "doc_id", "size", "n", "rate")), asc=False).alias("items"))
+    squares = F.sum((F.col("size") * F.col("size")).cast("decimal(38,0)") * F.col("n")).cast("double")
+    stats = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"), squares.alias("squares"), F.sum("items").alias("items"), F.count("*").alias("rows_of"))
+    stats = stats.withColumn("unit", F.when(F.col("words") > 0, F.greatest(F.lit(1.0), F.col("squares") / F.col("words"))).otherwise(F.lit(1.0)))
+    solved = cut(solve(hist.select("source", "size", "n"), cut(with_targets(stats, weights, cap)), cap))
+    known = solved.select("source", "tilt", "unit", F.ceil(F.col("items") / cell_docs).cast("long").alias("cells"), F.col("words").alias("source_size"), "target", F.col("items").alias("rows_of"))
+    items = _beside(rows, known, known.count(), rows.count(), "doc_id")
+    items = items.select("doc_id", "source", "text_key", "size", "n", "source_size", "target", _rate(F.col("tilt"), F.col("size"), F.col("unit"), cap).alias("rate"), F.pmod(F.xxhash64("doc_id", "size", "text_key"), F.col("cells")).alias("cell"))
+    cells = items.groupBy("source", "cell", "source_size", "target").agg(F.sort_array(F.collect_list(F.struct((F.col("size") * F.col("n")).alias("words"), "doc_id", "size", "n", "rate", "text_key")), asc=False).alias("items"))
 
     def place(state, item):
         whole = item["words"] * ONE
@@ -144,14 +143,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, cel
     start = F.struct(F.lit(0).cast("long").alias("carry"), F.array().cast("array<bigint>").alias("copies"))
     placed = cells.withColumn("copies", F.aggregate("items", start, place, lambda s: s["copies"]))
     flat = placed.select("source", "source_size", "target", F.explode(F.arrays_zip("items", "copies")).alias("x"))
-    out = flat.select(F.col("x.items.doc_id").alias("doc_id"), "source", F.col("x.items.size").alias("size"), "source_size", "target", (F.col("x.items.rate") / ONE).alias("rate"), F.col("x.copies").alias("copies"), (F.col("x.copies") * F.col("x.items.size")).alias("taken"), F.col("x.items.n").alias("n"))
+    out = flat.select(F.col("x.items.doc_id").alias("doc_id"), "source", F.col("x.items.text_key").alias("text_key"), F.col("x.items.size").alias("size"), "source_size", "target", (F.col("x.items.rate") / ONE).alias("rate"), F.col("x.copies").alias("copies"), (F.col("x.copies") * F.col("x.items.size")).alias("taken"), F.col("x.items.n").alias("n"))
     return out.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with all their columns."""
-    made = mix(docs, **options).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("copies").alias("__copies")).groupBy("__id", "__source").agg(F.max("__copies").alias("__copies"))
-    joined = docs.join(made, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")))
+    made = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    made = made.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_key").alias("__key"), F.col("copies").alias("__copies")).distinct()
+    # the key of the text tells rows of one doc_id apart, and spreads those without one
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source")) & (F.xxhash64(text_col) == F.col("__key"))
+    joined = docs.join(made, same)
     return joined.filter("__copies > 0").withColumn("__copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
 
 

@@ -7,14 +7,15 @@ first, into the open sequence that holds them under every constraint and
 scores best: the smallest weighted norm of what would be left ("norm"), or the
 largest weighted dot product of the item and what is left ("dot").
 
-Groups of about `group_docs` documents, dealt by a hash, are packed apart: at
-most one badly filled sequence for each group, no task that grows with the
-input, and a lost task is repeated alone.
+Groups of about `group` pieces, dealt by a hash of what they are, are packed
+apart: at most one badly filled sequence for each group, no task that grows with
+the input, and a lost task is repeated alone.
 """
 
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowlattice.llm._common import table
+from rowlattice.llm._common import cut, table
 
 _ENCODERS: dict[str, object] = {}
 
@@ -132,30 +133,49 @@ def best_fit(lengths: np.ndarray, capacity: tuple[int, int, int], weights: tuple
     return bins, offsets
 
 
-def pack_pieces(pieces: DataFrame, n_docs: int, capacity: tuple[int, int, int] = (2048, 2048, 2048 * 2048), weights: tuple[float, float, float] = (1.0, 0.01, 0.01), rule: str = "norm", group_docs: int = 4096) -> DataFrame:
+def capacities(pieces: DataFrame, tokens: int = 2048, room: float = 4.0) -> tuple[int, tuple[int, int, int]]:
+    """Number of pieces, and the capacities of a sequence: tokens, documents and attention cost.
+
+    Documents and cost are `room` times what a sequence would hold were all
+    alike, so that both bind where small documents or long ones would crowd,
+    but at least 32 documents, and the cost of the costliest piece, which must
+    fit somewhere.
+    """
+    square = F.col("length") * F.col("length")
+    n, total, cost, most = pieces.agg(F.count("*"), F.sum("length"), F.sum(square.cast("decimal(38,0)")), F.max(square)).first()
+    sequences = max(1, -(-(total or 0) // tokens))
+    return n, (tokens, max(32, math.ceil(room * n / sequences)), max(most or 1, math.ceil(room * float(cost or 0) / sequences)))
+
+
+def pack_pieces(pieces: DataFrame, n: int, capacity: tuple[int, int, int], weights: tuple[float, float, float] = (1.0, 0.5, 0.1), rule: str = "norm", group: int = 4096) -> DataFrame:
     """pieces (doc_id, piece, length and any more columns) with sequence_id and offset.
 
-    capacity: most tokens, documents (pieces) and attention cost of a sequence.
-    Equal pieces are told apart by their row's place, so that repeated rows are
-    dealt to different groups. An empty table gives an empty table.
+    n: about how many pieces there are. capacity: most tokens, documents
+    (pieces) and attention cost of a sequence. Equal pieces are counted and told
+    apart by a number, so they are dealt to different groups; nothing depends on
+    how rows are partitioned. Of equally good sequences the one opened first is
+    taken, of equally long pieces the one with the least columns goes first. An
+    empty table gives an empty table.
     """
-    groups = max(1, -(-n_docs // group_docs))
-    more = [c for c in pieces.columns if c not in ("__group", "sequence_id", "offset")]
+    groups = max(1, -(-n // group))
+    more = [c for c in pieces.columns if c not in ("__group", "__copy", "__n", "sequence_id", "offset")]
     schema = ", ".join(f"`{c}` {t}" for c, t in pieces.select(*more).dtypes) + ", sequence_id long, offset long"
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop(columns="__group").sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+        pdf = pdf.drop(columns="__group").sort_values(["length", *(c for c in more if c != "length")], ascending=[False] + [True] * (len(more) - 1), kind="stable")
         bins, offsets = best_fit(pdf["length"].to_numpy(), capacity, weights, rule)
         return pdf.assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)
 
-    dealt = pieces.select(*more).withColumn("__group", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)))
+    counted = pieces.select(*more).groupBy(*more).agg(F.count("*").alias("__n"))
+    each = counted.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
+    dealt = each.select(*more, F.pmod(F.xxhash64(*more, "__copy"), F.lit(groups)).alias("__group"))
     return dealt.groupBy("__group").applyInPandas(run, schema)
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:
     """Digest of the packing: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = tokenized_pieces(docs).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return pack_pieces(pieces, docs.count())
+    pieces = cut(tokenized_pieces(docs).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    return pack_pieces(pieces, *capacities(pieces))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -4,14 +4,17 @@ Bootstrapped extraction. The fixed patterns' matches are seeds. The words
 around a seed make lexical patterns (two words before; one before and one
 after). The same contexts are taken of every other token that has five digits or
 an at sign, and of every maximal run of digit groups with spaces in it: an
-identifier may be written in groups. Such a run is one candidate, of 64
-characters at most, and none if a seed overlaps it; marked places that overlap
-become one. Patterns and instances form a graph, on which confidence goes back and
-forth: a pattern's for a kind is the share of its occurrences that are
-instances of the kind, weighted by their confidence; an unseen instance's is
-that of its best pattern. After some rounds the patterns that are confident for
-one kind mark the unseen identifiers in their contexts. Common contexts stand
-beside all kinds, so they are confident for none.
+identifier may be written in groups. A candidate has 6 to 64 characters, and a
+run is none if a seed overlaps it; marked places that overlap become one.
+
+Patterns and instances form a graph. In each round a pattern is live if
+instances of `least_seeds` confidence support it; its confidence for a kind is
+the share of its occurrences that are instances of the kind, weighted by their
+confidence, and an unseen instance has that of its best live pattern. Unseen
+instances that reach `least_confidence` support patterns in the next round, so
+what was found induces patterns that no seed has, until a round makes no further
+pattern confident, or for `rounds` rounds. Common contexts stand beside all
+kinds, so they are confident for none.
 
 Everything is built-in functions; joins with patterns deal hot patterns out.
 """
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowlattice.llm._common import attach_groups, cut, table
-from rowlattice.llm._spans import found, joined, placed
+from rowlattice.llm._spans import clear_of, found, joined, let, placed
 
 KINDS = ["email", "ip", "card", "phone"]
 NAMES = [*KINDS, *(f"like_{k}" for k in KINDS)]
@@ -38,7 +41,10 @@ TOKEN = rf"(?<![^{WS}])[^{WS}0-9@]*+[0-9@][^{WS}]*+"
 
 #: Groups of digits with the separators of the card and phone patterns between them.
 GROUPS = r"(?<![A-Za-z0-9])[+(]{0,2}+[0-9]++(?:[\x20().-]++[0-9]++)++"
-BLOCK = 256  # characters, more than a context has
+#: Contexts are taken from pieces of so many characters: words are seen within so far, and longer ones are known by their nearest part.
+BLOCK = 256
+#: Lengths of a candidate and the digits of one without an at sign.
+SHORTEST, LONGEST, DIGITS = 6, 64, 5
 
 
 def _digits(m: Column) -> Column:
@@ -66,10 +72,10 @@ HOLDS = [
 
 def contexts(before: Column, after: Column) -> Column:
     """The lexical patterns of a place: its last two words before, and its last one before with its first one after."""
-    tail, head = F.lower(F.substring(before, -80, 80)), F.lower(F.substring(after, 1, 40))
-    one = F.regexp_extract(tail, rf"([^{WS}]+)[{WS}\"'(]*$", 1)
-    two = F.regexp_extract(tail, rf"([^{WS}]+[{WS}]+[^{WS}]+)[{WS}\"'(]*$", 1)
-    right = F.regexp_extract(head, rf"^[^{WS}]*[{WS}]*([^{WS}]+)", 1)
+    back, head = F.reverse(F.lower(before)), F.lower(after)  # from the place on, so that no search tries other starts
+    one = F.reverse(F.regexp_extract(back, rf"^[{WS}\"'(]*+([^{WS}]++)", 1))
+    two = F.reverse(F.regexp_extract(back, rf"^[{WS}\"'(]*+([^{WS}]++[{WS}]++[^{WS}]++)", 1))
+    right = F.regexp_extract(head, rf"^[^{WS}]*+[{WS}]*+([^{WS}]++)", 1)
     made = F.array(F.when(F.length(two) > 0, F.concat(F.lit("L2 "), F.regexp_replace(two, rf"[{WS}]+", " "))), F.when((F.length(one) > 0) & (F.length(right) > 0), F.concat(F.lit("LR "), one, F.lit(" _ "), right)))
     return F.filter(made, lambda p: p.isNotNull())
 
@@ -83,13 +89,38 @@ def _contexts_at(start: Column, end: Column) -> Column:
     return contexts(before, after)
 
 
-def scan(docs: DataFrame, rounds: int = 3, least_seeds: int = 8, least_confidence: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scored_patterns(edges: DataFrame, rounds: int, least_seeds: float, least_confidence: float) -> DataFrame:
+    """pattern, n_edges, p0 .. p3: the live patterns' confidence for each kind, from edges (pattern, inst, k: -1 if unseen, n: count)."""
+    n_edges = edges.count()
+    unit = [F.when(F.col("k") == j, F.lit(1.0)).otherwise(F.lit(0.0)) for j in range(4)]
+    scored = edges.withColumns({f"c{j}": unit[j] for j in range(4)})
+    best = F.greatest(*[F.col(f"p{j}") for j in range(4)])
+    confident = -1
+    for step in range(rounds):
+        support = F.sum(F.greatest(*[F.col(f"c{j}") for j in range(4)]))
+        made = scored.groupBy("pattern").agg(F.count("*").alias("n_edges"), F.sum("n").alias("total"), support.alias("support"), *[F.sum(F.col("n") * F.col(f"c{j}")).alias(f"s{j}") for j in range(4)])
+        patterns = cut(made.filter(F.col("support") >= least_seeds).select("pattern", "n_edges", *[(F.col(f"s{j}") / (F.col("total") + 2)).alias(f"p{j}") for j in range(4)]))
+        now = patterns.filter(best >= least_confidence).count()
+        if step + 1 == rounds or now <= confident:
+            break
+        confident = now
+        live = patterns.filter(best >= least_confidence)
+        reached = attach_groups(edges.filter("k < 0"), live, ["pattern"], "n_edges", n_edges, "inst").filter("p0 IS NOT NULL")
+        unseen = cut(reached.groupBy("inst").agg(F.count("*").alias("n_pats"), *[F.max(f"p{j}").alias(f"q{j}") for j in range(4)]))
+        scored = attach_groups(edges, unseen, ["inst"], "n_pats", n_edges, "pattern").select("pattern", "inst", "k", "n", *[F.coalesce(F.when(F.col("k") < 0, F.col(f"q{j}")), unit[j]).alias(f"c{j}") for j in range(4)])
+    return patterns
+
+
+def scan(docs: DataFrame, rounds: int = 5, least_seeds: int = 8, least_confidence: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base and spans (arrays of struct<start, end, k>, k an index of NAMES) for each row of docs.
 
     base has the fixed patterns' matches by kind, then start; spans has these
-    and the unseen identifiers that overlap none of them. A null text is an
-    empty one and has none. Repeated rows have equal results. Other columns
-    are not read. An empty table gives an empty table.
+    and the unseen identifiers that overlap none of them. Of equally confident
+    kinds the first of KINDS counts, of equally confident patterns the last
+    kind. A null text is an empty one and has none. Repeated rows have equal
+    results. Other columns are not read, so their names may clash. An empty
+    table gives an empty table. A text, its matches and what is between them are
+    in memory at once, and work follows its length.
     """
     text = F.col("text")
     df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumns({f"m{k}": found(text, p) for k, p in enumerate(PATTERNS)} | {"t": found(text, TOKEN), "g": found(text, GROUPS)})
@@ -100,7 +131,7 @@ def scan(docs: DataFrame, rounds: int = 3, least_seeds: int = 8, least_confidenc
         full = F.transform(good, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("k"), s["m"].alias("m"), _contexts_at(s["start"], s["end"]).alias("pats")))
         return F.when(some, full).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,k:int,m:string,pats:array<string>>>"))
 
-    like = lambda m: (F.length(m).between(6, 64)) & ((F.length(_digits(m)) >= 5) | F.contains(m, F.lit("@")))
+    like = lambda m: (F.length(m).between(SHORTEST, LONGEST)) & ((F.length(_digits(m)) >= DIGITS) | F.contains(m, F.lit("@")))
 
     def token(s) -> Column:
         lead = F.length(F.regexp_extract(s["m"], r"^[\"'(\[<]*", 0))
@@ -112,7 +143,11 @@ def scan(docs: DataFrame, rounds: int = 3, least_seeds: int = 8, least_confidenc
         return F.struct((s["start"] + lead).alias("start"), s["end"].alias("end"), F.lit(-1).alias("k"), s["m"].alias("m"), _contexts_at(s["start"], s["end"]).alias("pats"))
 
     spaced = lambda m: like(m) & F.contains(m, F.lit(" "))
-    free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+
+    def clear(all_: Column) -> Column:
+        names = [f"b{k}" for k in range(len(PATTERNS))]
+        return let(F.struct(*names), lambda b: F.filter(all_, lambda s: clear_of(s, b["b0"]) & clear_of(s, b["b1"]) & clear_of(s, b["b2"]) & clear_of(s, b["b3"])))
+
     none = F.array().cast("array<struct<start:bigint,end:bigint,k:int,m:string,pats:array<string>>>")
     tokens = F.when(F.exists("t", like), F.transform(F.filter(placed(text, F.col("t"), TOKEN), lambda s: like(s["m"])), token)).otherwise(none)
     groups = F.when(F.exists("g", spaced), F.transform(F.filter(placed(text, F.col("g"), GROUPS), lambda s: spaced(s["m"])), group)).otherwise(none)
@@ -120,29 +155,18 @@ def scan(docs: DataFrame, rounds: int = 3, least_seeds: int = 8, least_confidenc
     for k in range(len(PATTERNS)):
         some = some | F.exists(f"m{k}", HOLDS[k])
     df = df.withColumn("blocks", F.when(some, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))))
-    seen = df.withColumn("base", F.concat(*[seeds(k) for k in range(4)])).withColumn("tokens", F.filter(F.concat(tokens, groups), free))
+    seen = df.withColumns({f"b{k}": seeds(k) for k in range(4)}).withColumn("base", F.concat(*[f"b{k}" for k in range(4)])).withColumn("tokens", clear(F.concat(tokens, groups)))
     seen = cut(seen.select("doc_id", F.xxhash64("text").alias("text_key"), "base", "tokens"))
 
     # occurrences -> edges of the graph: pattern, instance, kind (-1: unseen), count
     occ = seen.select("doc_id", "text_key", F.explode(F.concat("base", "tokens")).alias("x")).select("doc_id", "text_key", "x.*")
     edges = occ.select(F.explode("pats").alias("pattern"), F.xxhash64("k", "m").alias("inst"), "k").groupBy("pattern", "inst", "k").agg(F.count("*").alias("n"))
     edges = cut(edges)
-    live = cut(edges.groupBy("pattern").agg(F.count("*").alias("n_edges"), F.sum((F.col("k") >= 0).cast("int")).alias("n_seeds")).filter(F.col("n_seeds") >= least_seeds))
-    edges = cut(attach_groups(edges, live, ["pattern"], "n_edges", edges.count(), "inst").filter("n_seeds IS NOT NULL").select("pattern", "inst", "k", "n"))
-    n_edges = edges.count()
-    unit = [F.when(F.col("k") == j, F.lit(1.0)).otherwise(F.lit(0.0)) for j in range(4)]
-    scored = edges.withColumns({f"c{j}": unit[j] for j in range(4)})
-    patterns = None
-    for step in range(rounds if n_edges else 1):
-        patterns = cut(scored.groupBy("pattern").agg(F.count("*").alias("n_edges"), F.sum("n").alias("total"), *[F.sum(F.col("n") * F.col(f"c{j}")).alias(f"s{j}") for j in range(4)]).select("pattern", "n_edges", *[(F.col(f"s{j}") / (F.col("total") + 2)).alias(f"p{j}") for j in range(4)]))
-        if step + 1 == rounds or not n_edges:
-            break
-        with_patterns = attach_groups(edges, patterns.select("pattern", "n_edges", *[f"p{j}" for j in range(4)]), ["pattern"], "n_edges", n_edges, "inst")
-        unseen = cut(with_patterns.filter("k < 0").groupBy("inst").agg(F.count("*").alias("n_pats"), *[F.max(f"p{j}").alias(f"q{j}") for j in range(4)]))
-        scored = attach_groups(edges, unseen, ["inst"], "n_pats", n_edges, "pattern").select("pattern", "inst", "k", "n", *[F.coalesce(F.when(F.col("k") < 0, F.col(f"q{j}")), unit[j]).alias(f"c{j}") for j in range(4)])
+    patterns = scored_patterns(edges, rounds, least_seeds, least_confidence)
     best = F.greatest(*[F.col(f"p{j}") for j in range(4)])
     kind = F.coalesce(*[F.when(F.col(f"p{j}") == best, F.lit(4 + j)) for j in range(4)])
     sure = cut(patterns.filter(best >= least_confidence).select("pattern", "n_edges", best.alias("confidence"), kind.alias("kind")))
+    n_edges = edges.count()
     places = occ.filter("k < 0").select("doc_id", "text_key", "start", "end", F.explode("pats").alias("pattern"))
     marked = attach_groups(places, sure, ["pattern"], "n_edges", max(n_edges, 1), "start").filter("confidence IS NOT NULL")
     new = marked.groupBy("doc_id", "text_key", "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("k"))

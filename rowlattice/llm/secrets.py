@@ -10,10 +10,12 @@ alphanumeric, letters, base 64), and three tests are made for its alphabet:
 - runs of character classes (digits, lower case, upper case; for letters alone
   vowels and consonants), whose number in natural text follows from a rate.
 - serial correlation of neighbouring symbols, which is near zero in random
-  strings and not in sequences such as abcdefgh.
+  strings and not in sequences such as abcdefgh. Natural text is held to be no
+  nearer to zero than chance, so this test speaks against patterns, and half as
+  loud as the others.
 
-Both tails are length-aware by construction. Stouffer's sum of the first two
-gives a p-value; all candidates of the corpus go through Benjamini and
+All tails are length-aware by construction. Stouffer's weighted sum of the
+three gives a p-value; all candidates of the corpus go through Benjamini and
 Hochberg's procedure in strata of length. What it finds must also pass all
 three tests as a random string. Everything is built-in functions; the ranking
 of p-values is a histogram, so no task sorts a stratum.
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowlattice.llm._common import cut, table
-from rowlattice.llm._spans import found, joined, placed
+from rowlattice.llm._spans import clear_of, found, joined, let, placed
 
 KINDS = ["assign", "access", "hex", "random"]
 #: Fixed by the contract of the query.
@@ -47,6 +49,10 @@ ENCODINGS = [
 ]
 
 
+#: Weight of serial correlation among the three tests.
+SERIAL = 0.5
+
+
 def upper_tail(z: Column) -> Column:
     """1 minus the normal distribution function, by a polynomial whose relative error is small in the tail (fixed values)."""
     x = F.abs(z)
@@ -97,7 +103,9 @@ def tested(cands: DataFrame) -> DataFrame:
     odd_runs = F.abs(F.col("changes") - m * F.col("even")) / F.sqrt(m * F.col("even") * (1 - F.col("even")))
     odd_serial = F.abs(F.col("serial") + 1 / m) * F.sqrt(m)
     passes = (too_uneven < 3.09) & (odd_runs < 3.29) & F.coalesce(odd_serial < 3.29, F.lit(False))
-    return df.withColumn("p", upper_tail((z_chi + z_runs) / math.sqrt(2))).withColumn("passes", passes).select(*cands.columns, "encoding", "n", "p", "passes")
+    # under chance |z| has this mean and standard deviation
+    z_serial = F.coalesce((math.sqrt(2 / math.pi) - odd_serial) / math.sqrt(1 - 2 / math.pi), F.lit(-10.0))
+    return df.withColumn("p", upper_tail((z_chi + z_runs + SERIAL * z_serial) / math.sqrt(2 + SERIAL * SERIAL))).withColumn("passes", passes).select(*cands.columns, "encoding", "n", "p", "passes")
 
 
 def discoveries(scored: DataFrame, rate: float = 0.01) -> DataFrame:
@@ -121,9 +129,11 @@ def scan(docs: DataFrame, rate: float = 0.01, id_col: str = "doc_id", text_col:
     """doc_id, base and spans (arrays of struct<start, end, k>, k an index of KINDS) for each row of docs.
 
     base has the fixed patterns' matches in order of start, then kind; spans has
-    these and the battery's discoveries that overlap none of them. A null text
-    is an empty one and has none. Repeated rows have equal results. Other
-    columns are not read. An empty table gives an empty table.
+    these and the battery's discoveries that overlap none of them. Equal
+    p-values are found or not together. A null text is an empty one and has
+    none. Repeated rows have equal results. Other columns are not read, so their
+    names may clash. An empty table gives an empty table. A text, its matches
+    and what is between them are in memory at once, and work follows its length.
     """
     # a stage of its own, so that each text is searched once
     text = F.col("text")
@@ -134,10 +144,11 @@ def scan(docs: DataFrame, rate: float = 0.01, id_col: str = "doc_id", text_col:
         all_ = F.filter(all_, keep) if keep else all_
         return F.transform(all_, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("k")))
 
-    base = F.array_sort(F.concat(spans("a", ASSIGN, 0, lambda s: F.length(F.regexp_replace(s["m"], ASSIGN_VALUE, "")) >= 8), spans("c", ACCESS, 1), spans("h", HEX, 2)))
-    free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    df = df.withColumns({"b0": spans("a", ASSIGN, 0, lambda s: F.length(F.regexp_replace(s["m"], ASSIGN_VALUE, "")) >= 8), "b1": spans("c", ACCESS, 1), "b2": spans("h", HEX, 2)})
+    base = F.array_sort(F.concat("b0", "b1", "b2"))
+    clear = lambda all_: let(F.struct("b0", "b1", "b2"), lambda b: F.filter(all_, lambda s: clear_of(s, b["b0"]) & clear_of(s, b["b1"]) & clear_of(s, b["b2"])))
     tokens = F.transform(placed(text, F.col("t"), CANDIDATE), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["m"].alias("token")))
-    seen = cut(df.withColumn("base", base).withColumn("tokens", F.filter(tokens, free)).select("doc_id", F.xxhash64("text").alias("text_key"), "base", "tokens"))
+    seen = cut(df.withColumn("base", base).withColumn("tokens", clear(tokens)).select("doc_id", F.xxhash64("text").alias("text_key"), "base", "tokens"))
     cands = seen.select("doc_id", "text_key", "tokens").distinct().select("doc_id", "text_key", F.explode("tokens").alias("x")).select("doc_id", "text_key", "x.start", "x.end", "x.token")
     new = discoveries(cut(tested(cands)), rate)
     per_doc = new.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end", F.lit(3).alias("k"))).alias("new")).select(F.col("doc_id").alias("d"), F.col("text_key").alias("tk"), "new")

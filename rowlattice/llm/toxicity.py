@@ -14,12 +14,17 @@ curve, fitted on labelled documents that had no part in the weights,
 makes it a probability. Copies of one text count once in training.
 
 The classifier is fitted on `sample` labelled rows at most, those with the
-smallest hashes of their doc_ids. All else covers all documents.
+smallest hashes of their doc_ids, and has MAX_FEATURES n-grams at most, the
+heaviest; as only n-grams of LEAST_DOCS toxic documents of the sample count, the
+bound seldom matters. All else covers all documents. Letters of all scripts make
+n-grams; outside Latin they share classes by a hash, and only Latin ones are
+restored.
 """
 
 from __future__ import annotations
 
 import math
+import os
 import unicodedata
 from collections.abc import Iterator
 
@@ -40,42 +45,47 @@ HITS = 4
 
 # ---- alphabets (fixed values) ----
 ACCENTED = "äöüßàáâãåæçèéêëìíîïñòóôõøùúûýÿœ"
-DIGIT, OTHER = 58, 59
+DIGIT = 58
 #: What a character may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i"}
 SEPARATORS = " ._*-,/~"
 
 
+#: Letters and digits of all scripts lie below; what is above has no class.
+POINTS = 0x32400
+
+
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    fine, coarse = np.zeros(0x3000, np.uint8), np.zeros(0x3000, np.uint8)
-    for cp in range(len(fine)):
+    """Classes of code points: 64 fine ones (letters of other scripts share the accented ones by a hash), 32 coarse ones."""
+    fine, coarse = np.zeros(POINTS, np.uint8), np.zeros(POINTS, np.uint8)
+    for cp in range(POINTS):
         c = chr(cp).lower()[0]
+        base = c if cp < 128 else unicodedata.normalize("NFKD", c)[0]
         if c in ACCENTED:
             fine[cp] = 27 + ACCENTED.index(c)
-        elif "a" <= c <= "z":
-            fine[cp] = ord(c) - 96
+        elif "a" <= base <= "z":
+            fine[cp] = ord(base) - 96
         elif c.isdigit():
             fine[cp] = DIGIT
         elif c.isalpha():
-            fine[cp] = OTHER
-        base = unicodedata.normalize("NFKD", c)[0] if c else c
+            fine[cp] = 27 + ord(c) * 2654435761 % 2**32 % len(ACCENTED)
         coarse[cp] = ord(base) - 96 if "a" <= base <= "z" else 19 if c == "ß" else 27 if c.isdigit() else 28 if c.isalpha() else 0 if c.isspace() or c in SEPARATORS + "'\"()?:;" else 29
     return fine, coarse
 
 
 _FINE, _COARSE = _tables()
-_TRIGGER = np.zeros(0x3000, bool)
+_TRIGGER = np.zeros(POINTS, bool)
 _TRIGGER[[ord(c) for c in LEET]] = True
-_SEP = np.zeros(0x3000, bool)
+_SEP = np.zeros(POINTS, bool)
 _SEP[[ord(c) for c in SEPARATORS]] = True
-_BLANK = np.zeros(0x3000, bool)
+_BLANK = np.zeros(POINTS, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
 def points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the texts, each after two line feeds, cut to the tables' size; and each text's start."""
     joined = "\n\n" + "\n\n".join(texts) + "\n\n"
-    cps = np.minimum(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), 0x2FFF).astype(np.int32)
+    cps = np.minimum(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), POINTS - 1).astype(np.int32)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 2
     return cps, np.concatenate([[2], 2 + np.cumsum(lengths)[:-1]]).astype(np.int64)
 
@@ -119,7 +129,8 @@ def restore(token: str, model: np.ndarray) -> str:
 
     Edges: a letter stands for itself; a character of LEET for its letters (or,
     at a price, for nothing meant); three or more equal letters for one or two;
-    a separator between single letters for nothing or for a space.
+    a separator between single letters for nothing or for a space. All states
+    survive, so the pass is exact; of equal scores the first edge's wins.
     """
     spaced = sum(c in SEPARATORS for c in token) * 2 >= len(token) - 2
     steps: list[list[tuple[str, float]]] = []
@@ -138,14 +149,15 @@ def restore(token: str, model: np.ndarray) -> str:
         else:
             steps.append([(" ", -1.0)])
         i = j
-    best = {(0, 0, 0): (0.0, "")}
-    for options in [*steps, [(" ", 0.0)]]:
+    # a survivor is its score and the classes' text since the survivors last agreed
+    best, made = {(0, 0, 0): (0.0, "")}, []
+    for at, options in enumerate([*steps, [(" ", 0.0)]]):
         new: dict[tuple[int, int, int], tuple[float, str]] = {}
         for (a, b, c), (score, text) in best.items():
             for out, cost in options:
                 x, y, z, s = a, b, c, score + cost
                 for ch in out:
-                    k = int(_COARSE[min(ord(ch), 0x2FFF)])
+                    k = int(_COARSE[min(ord(ch), POINTS - 1)])
                     if k == 0 and z == 0:
                         continue
                     s += float(model[((x << 5 | y) << 5 | z) << 5 | k])
@@ -153,8 +165,12 @@ def restore(token: str, model: np.ndarray) -> str:
                 old = new.get((x, y, z))
                 if old is None or s > old[0]:
                     new[x, y, z] = (s, text + out)
-        best = new if len(new) <= 64 else dict(sorted(new.items(), key=lambda kv: -kv[1][0])[:64])
-    return max(best.values())[1].strip()
+        best = new
+        if at % 64 == 63:  # long stretches: what all survivors agree on is settled
+            agreed = len(os.path.commonprefix([text for _, text in best.values()]))
+            made.append(next(iter(best.values()))[1][:agreed])
+            best = {state: (score, text[agreed:]) for state, (score, text) in best.items()}
+    return "".join([*made, max(best.values())[1]]).strip()
 
 
 def obfuscated(cps: np.ndarray) -> np.ndarray:
@@ -208,16 +224,16 @@ class Reader:
         spans = obfuscated(cps)
         made, of = [], []
         for s, e, d in zip(spans[0].tolist(), spans[1].tolist(), (np.searchsorted(starts, spans[0], side="right") - 1).tolist(), strict=True):
-            for x in range(s, e, 64):  # long stretches, such as keys, piece by piece
-                token = texts[d][x - int(starts[d]) : min(x + 64, e) - int(starts[d])]
-                out = self.seen.get(token)
-                if out is None:
-                    out = restore(token, self.model)
-                    if len(self.seen) >= 200_000:
-                        self.seen.clear()
+            token = texts[d][s - int(starts[d]) : e - int(starts[d])]
+            out = self.seen.get(token)
+            if out is None:
+                out = restore(token, self.model)
+                if len(self.seen) >= 200_000:
+                    self.seen.clear()
+                if len(token) <= 64:
                     self.seen[token] = out
-                made.append(out)
-                of.append(d)
+            made.append(out)
+            of.append(d)
         if made:
             cps, starts = points(made)
             yield _FINE[cps], np.asarray(of)[np.maximum(np.searchsorted(starts, np.arange(len(cps)), side="right") - 1, 0)]
@@ -396,8 +412,11 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
 
     A null text is an empty one; it has no evidence and the lowest score. If no
     usable label is toxic, each score is the share of toxic labels. Repeated
-    rows have equal scores. Labels of rows that aren't in docs are not used.
-    An empty table gives an empty table.
+    rows have equal scores; a score of exactly one half is predicted toxic. Of a
+    doc_id's labels the largest counts, and labels of rows that aren't in docs
+    are not used. Only doc_id and text are read, so other names may clash. An
+    empty table gives an empty table. Whole texts are read; memory follows the
+    longest one, by about fifty bytes for each of its characters.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     fitted = fit(docs, labels, sample)
