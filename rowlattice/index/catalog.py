@@ -1,4 +1,9 @@
-"""Materialised indexes: Parquet tables sorted by their keys, with a JSON relation beside them."""
+"""Materialised indexes: Parquet tables sorted by their keys, with a JSON relation beside them.
+
+Files hold about FILE_BYTES each, however large the base is. Rows that come
+later are appended to every index as further sorted files; changed and deleted
+rows rewrite the indexes, as files are immutable.
+"""
 
 from __future__ import annotations
 
@@ -10,46 +15,73 @@ from pyspark.sql import functions as F
 from rowlattice.functions.zorder import zip_bits
 from rowlattice.index.secondary import Covering, Indexed
 
+FILE_BYTES = 256 << 20
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """What the optimizer takes the size of df to be: that of the files, for a plain scan."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
 
 class IndexCatalog:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _write(self, df: DataFrame, name: str, keys: list[str], files: int) -> None:
-        df.repartitionByRange(files, *keys).sortWithinPartitions(*keys).write.mode("overwrite").option("parquet.block.size", 16 << 20).parquet(f"{self.path}/{name}")
-
-    def create(self, base: DataFrame, row: str, indexed: list[str], kinds: tuple[str, ...] = ("gs", "gc", "lc", "md", "cct"), covering: tuple[Covering, ...] = (), bits: dict[str, int] | None = None, region: str | None = None, files: int = 8) -> dict:
-        """Build the named kinds of index; the base is read once for each copy. Returns the relation."""
-        bits = bits or {}
-        if "gs" in kinds:
-            for c in indexed:
-                self._write(base.filter(F.col(c).isNotNull()).select(c, F.col(row).alias("row")), f"gs_{c}", [c, "row"], files)
-        if "gc" in kinds:
-            for c in indexed:
-                self._write(base.filter(F.col(c).isNotNull()), f"gc_{c}", [c, row], files)
-        if "lc" in kinds and region:
-            for c in indexed:
-                self._write(base.filter(F.col(c).isNotNull()), f"lc_{c}", [region, c, row], files)
+    def _write(self, df: DataFrame, name: str, keys: list[str], files: int, mode: str = "overwrite") -> None:
+        df.repartitionByRange(files, *keys).sortWithinPartitions(*keys).write.mode(mode).option("parquet.block.size", 16 << 20).parquet(f"{self.path}/{name}")
+
+    def _tables(self, base: DataFrame, r: dict) -> dict[str, tuple[DataFrame, list[str]]]:
+        """Each index of a relation: its rows of base, and the keys that sort it."""
+        row, region, kinds = r["row"], r["region"], r["kinds"]
+        out = {}
+        for c in r["indexed"]:
+            filled = base.filter(F.col(c).isNotNull())
+            if "gs" in kinds:
+                out[f"gs_{c}"] = filled.select(c, F.col(row).alias("row")), [c, "row"]
+            if "gc" in kinds:
+                out[f"gc_{c}"] = filled, [c, row]
+            if "lc" in kinds and region:
+                out[f"lc_{c}"] = filled, [region, c, row]
+            if "ir" in kinds and region:
+                out[f"ir_{c}"] = filled.select(region, c, row), [region, c, row]
         if "cct" in kinds:
-            self._write(base.select(F.col(row).alias("row"), *indexed), "cct", ["row"], files)
-        if "md" in kinds and bits:
-            dims = [c for c in indexed if c in bits]
-            self._write(base.dropna(subset=dims).withColumn("zkey", zip_bits([F.col(c) for c in dims], max(bits.values()))), "md", ["zkey"], files)
-        for i in covering:
-            self._write(base.filter(F.col(i.column).isNotNull()).select(row, i.column, *i.others), f"udg_{i.column}", [i.column, row], files)
-        relation = {"row": row, "indexed": indexed, "bits": bits, "kinds": list(kinds), "covering": [[i.column, *i.others] for i in covering], "region": region}
+            out["cct"] = base.select(F.col(row).alias("row"), *r["indexed"]), ["row"]
+        dims = [c for c in r["indexed"] if c in r["bits"]]
+        if dims:
+            zipped = base.dropna(subset=dims).withColumn("zkey", zip_bits([F.col(c) for c in dims], max(r["bits"].values())))
+            if "md" in kinds:
+                out["md"] = zipped, ["zkey"]
+            if "lmd" in kinds and region:
+                out["lmd"] = zipped, [region, "zkey"]
+        for column, *others in r["covering"]:
+            covered = base.filter(F.col(column).isNotNull())
+            out[f"udg_{column}"] = covered.select(row, column, *others), [column, row]
+            if "udl" in kinds and region:
+                out[f"udl_{column}"] = covered.select(*dict.fromkeys([region, row, column, *others])), [region, column, row]
+        return out
+
+    def create(self, base: DataFrame, row: str, indexed: list[str], kinds: tuple[str, ...] = ("gs", "gc", "lc", "md", "cct"), covering: tuple[Covering, ...] = (), bits: dict[str, int] | None = None, region: str | None = None, files: int | None = None) -> dict:
+        """Build the named kinds of index (gs, gc, cct, md; with region also ir, lc, lmd, udl); the base is read once for each. files: for each index, else by size. Returns the relation."""
+        relation = {"row": row, "indexed": indexed, "bits": bits or {}, "kinds": list(kinds), "covering": [[i.column, *i.others] for i in covering], "region": region}
+        files = files or max(1, -(-planned_bytes(base) // FILE_BYTES))
+        for name, (rows, keys) in self._tables(base, relation).items():
+            self._write(rows, name, keys, files)
         self.spark.createDataFrame([(json.dumps(relation),)], "relation string").coalesce(1).write.mode("overwrite").text(f"{self.path}/_relation")
         return relation
 
+    def append(self, rows: DataFrame, files: int | None = None) -> None:
+        """Enter new rows of the base, whose keys it doesn't have yet, into every index."""
+        files = files or max(1, -(-planned_bytes(rows) // FILE_BYTES))
+        for name, (entries, keys) in self._tables(rows, self.relation()).items():
+            self._write(entries, name, keys, files, "append")
+
     def relation(self) -> dict:
         return json.loads(self.spark.read.text(f"{self.path}/_relation").first()[0])
 
     def open(self, base: DataFrame) -> Indexed:
+        """base with its indexes; one that the relation names and that isn't there is an error."""
         r = self.relation()
-        names = [f"{k}_{c}" for k in ("gs", "gc") if k in r["kinds"] for c in r["indexed"]]
-        names += [f"lc_{c}" for c in r["indexed"]] if "lc" in r["kinds"] and r["region"] else []
-        names += [k for k in ("cct",) if k in r["kinds"]] + (["md"] if "md" in r["kinds"] and r["bits"] else []) + [f"udg_{c[0]}" for c in r["covering"]]
-        return Indexed(base, r["row"], r["indexed"], {n: self.spark.read.parquet(f"{self.path}/{n}") for n in names}, r["bits"])
+        return Indexed(base, r["row"], r["indexed"], {n: self.spark.read.parquet(f"{self.path}/{n}") for n in self._tables(base, r)}, r["bits"])
 
     def drop(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)

@@ -3,7 +3,8 @@
 An index is a deterministic selection of its base table, so it is never stale.
 In a catalog it is a Parquet table sorted by its key, whose row-group
 statistics let a range read skip what it doesn't need; without one it is the
-same plan on the base.
+same plan on the base. Local indexes are sorted by region first, so each region
+is read on its own.
 """
 
 from __future__ import annotations
@@ -82,14 +83,14 @@ class Covering:
     others: tuple[str, ...] = ()
 
 
-def user_defined(t: Indexed, indexes: list[Covering], ranges: list[ColumnRange], columns: list[str], chooser=None) -> DataFrame:
-    """A covering index whose main column is ranged answers alone; else the secondary path over what indexes there are, with residual conditions."""
+def user_defined(t: Indexed, indexes: list[Covering], ranges: list[ColumnRange], columns: list[str], chooser=None, local: bool = False) -> DataFrame:
+    """A covering index whose main column is ranged answers alone (a local one is sorted by region first); else the secondary path over what indexes there are, with residual conditions."""
     need = {*columns, *(r.qualifier for r in ranges)} - {t.row}
     ranged = {r.qualifier: r for r in ranges if r.is_range}
     fit = [i for i in indexes if i.column in ranged and need <= {i.column, *i.others}]
     if fit:
         best = min(fit, key=lambda i: chooser(ranged[i.column])) if chooser else fit[0]
-        copy = t.copies.get(f"udg_{best.column}", t.base.filter(F.col(best.column).isNotNull()).select(t.row, best.column, *best.others))
+        copy = t.copies.get(f"udl_{best.column}" if local else f"udg_{best.column}", t.base.filter(F.col(best.column).isNotNull()).select(t.row, best.column, *best.others))
         return copy.filter(conjunction(ranges)).select(*columns)
     return global_secondary(Indexed(t.base, t.row, [i.column for i in indexes], t.copies), ranges).select(*columns)
 
@@ -101,7 +102,7 @@ def in_region(t: Indexed, ranges: list[ColumnRange], region: str = "region") ->
         return no_index(t, ranges)
     keys = None
     for r in usable:
-        one = t.base.filter(r.test()).select(F.col(region).alias("__g"), F.col(t.row).alias("__r"))
+        one = t.copies.get(f"ir_{r.qualifier}", t.base).filter(r.test()).select(F.col(region).alias("__g"), F.col(t.row).alias("__r"))
         keys = one if keys is None else keys.join(one, ["__g", "__r"], "left_semi")
     return t.base.filter(conjunction(ranges)).join(keys, (F.col(region) == F.col("__g")) & (F.col(t.row) == F.col("__r")), "left_semi")
 
@@ -115,11 +116,13 @@ def local_clustering(t: Indexed, ranges: list[ColumnRange], chooser=None, region
     return t.copies.get(f"lc_{best.qualifier}", t.base.filter(F.col(best.qualifier).isNotNull())).filter(conjunction(ranges)).select(*t.base.columns)
 
 
-def multi_dimensional(t: Indexed, ranges: list[ColumnRange], by_key: bool = True, most_ranges: int = 64) -> DataFrame:
+def multi_dimensional(t: Indexed, ranges: list[ColumnRange], by_key: bool = True, most_ranges: int = 64, region: str | None = None) -> DataFrame:
     """Z-order keys: the box becomes key ranges, whose candidates are tested exactly, and fetched (by_key) or returned from the copy itself.
 
-    Coordinates are non-negative integers of t.bits bits. Open ends and
-    operators are exact, as the full condition is applied after the candidates.
+    With region the copy is the local one, sorted by region first; what is
+    fetched is met by region and key. Coordinates are non-negative integers of
+    t.bits bits. Open ends and operators are exact, as the full condition is
+    applied after the candidates.
     """
     dims = [c for c in t.indexed if c in t.bits]
     bits = max(t.bits.values())
@@ -132,14 +135,19 @@ def multi_dimensional(t: Indexed, ranges: list[ColumnRange], by_key: bool = True
     if any(a > b for a, b in zip(low, high, strict=True)):
         return t.base.limit(0)
     spans = box_ranges(low, high, bits, most_ranges)
-    if "md" in t.copies:
-        copy = t.copies["md"]
+    name = "lmd" if region else "md"
+    if name in t.copies:
+        copy = t.copies[name]
     else:
         copy = t.base.filter(" AND ".join(f"{c} IS NOT NULL" for c in dims)).withColumn("zkey", zip_bits([F.col(c) for c in dims], bits))
-    found = copy.filter(in_ranges(F.col("zkey"), spans, "md" not in t.copies)).filter(conjunction(ranges) if not by_key or "md" not in t.copies else conjunction([r for r in ranges if r.qualifier in dims]))
-    if by_key:
-        return fetch(t.base.filter(conjunction(ranges)), found.select(F.col(t.row).alias("row")), t.row)
-    return found.select(*t.base.columns)
+    found = copy.filter(in_ranges(F.col("zkey"), spans, name not in t.copies)).filter(conjunction(ranges) if not by_key or name not in t.copies else conjunction([r for r in ranges if r.qualifier in dims]))
+    if not by_key:
+        return found.select(*t.base.columns)
+    base = t.base.filter(conjunction(ranges))
+    if region:
+        keys = found.select(F.col(region).alias("__g"), F.col(t.row).alias("__r"))
+        return base.join(keys, (F.col(region) == F.col("__g")) & (F.col(t.row) == F.col("__r")), "left_semi")
+    return fetch(base, found.select(F.col(t.row).alias("row")), t.row)
 
 
 def disjunction(t: Indexed, groups: list[list[ColumnRange]], path) -> DataFrame:

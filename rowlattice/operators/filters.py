@@ -4,6 +4,9 @@ A filter says of each cell whether it is included, and may drop whole rows. It
 is applied before versions are counted, so a rejected newest version lets an
 older one through. flags(df) adds two boolean columns and returns their names;
 windows are over one row's cells, so one exchange by row serves a whole tree.
+Inside a list of mode ALL a filter sees the cells that those before it include:
+they are marked in the column SEEN, which windows respect, so that a tree of any
+depth reads its table once.
 """
 
 from __future__ import annotations
@@ -19,14 +22,27 @@ from rowlattice.operators.predicates import OPS, compare, in_intervals
 
 _ids = itertools.count()
 ROW = ["row"]
+#: Parts of a region in which the first rows are looked for.
+PARTS = 256
+SEEN = "__seen"
+
+
+def _seen(df: DataFrame) -> Column:
+    return F.col(SEEN) if SEEN in df.columns else F.lit(True)
 
 
 def _in_row():
     return Window.partitionBy(*ROW)
 
 
-def _ordered():
-    return _in_row().orderBy("family", "qualifier", F.col("ts").desc(), F.col("seq").desc())
+def _ordered(df: DataFrame):
+    """Of a row's cells those in sight first, so that what counts them needs no other order."""
+    return _in_row().orderBy(*([F.col(SEEN).desc()] if SEEN in df.columns else []), "family", "qualifier", F.col("ts").desc(), F.col("seq").desc())
+
+
+def _columns(df: DataFrame):
+    """Places of a row's columns, those in sight first."""
+    return F.dense_rank().over(_in_row().orderBy(*([F.col(SEEN).desc()] if SEEN in df.columns else []), "family", "qualifier"))
 
 
 class Filter:
@@ -246,7 +262,7 @@ class MultiDimensionFilter(Filter):
 @dataclass
 class FirstKeyOnlyFilter(Filter):
     def prepare(self, df):
-        return df.withColumn("__first", F.row_number().over(_ordered()))
+        return df.withColumn("__first", F.row_number().over(_ordered(df)))
 
     def include(self):
         return F.col("__first") == 1
@@ -259,7 +275,7 @@ class FirstKeyValueMatchingQualifiersFilter(Filter):
     qualifiers: list
 
     def prepare(self, df):
-        before = _ordered().rowsBetween(Window.unboundedPreceding, -1)
+        before = _ordered(df).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn("__met", F.coalesce(F.max(F.col("qualifier").isin(self.qualifiers).cast("int")).over(before), F.lit(0)))
 
     def include(self):
@@ -273,7 +289,7 @@ class ColumnCountGetFilter(Filter):
     n: int
 
     def prepare(self, df):
-        return df.withColumn("__column", F.dense_rank().over(_in_row().orderBy("family", "qualifier")))
+        return df.withColumn("__column", _columns(df))
 
     def include(self):
         return F.col("__column") <= self.n
@@ -289,8 +305,8 @@ class ColumnPaginationFilter(Filter):
 
     def prepare(self, df):
         if self.column_offset is None:
-            return df.withColumn("__column", F.dense_rank().over(_in_row().orderBy("family", "qualifier")))
-        at = F.when(F.col("qualifier") >= self.column_offset, F.struct("family", "qualifier"))
+            return df.withColumn("__column", _columns(df))
+        at = F.when(_seen(df) & (F.col("qualifier") >= self.column_offset), F.struct("family", "qualifier"))
         return df.withColumn("__column", F.when(at.isNotNull(), F.dense_rank().over(_in_row().orderBy(at.asc_nulls_last()))))
 
     def include(self):
@@ -311,7 +327,7 @@ class DependentColumnFilter(Filter):
     def prepare(self, df):
         ref = (F.col("family") == self.family) & (F.col("qualifier") == self.qualifier)
         ref = ref & self.comparator.test(F.col("value"), self.op) if self.comparator else ref
-        return df.withColumn("__same", F.max(ref.cast("int")).over(Window.partitionBy(*ROW, "ts")))
+        return df.withColumn("__same", F.max((ref & _seen(df)).cast("int")).over(Window.partitionBy(*ROW, "ts")))
 
     def include(self):
         mine = (F.col("family") == self.family) & (F.col("qualifier") == self.qualifier)
@@ -336,10 +352,11 @@ class SingleColumnValueFilter(Filter):
     def flags(self, df):
         n = next(_ids)
         passes = F.coalesce(self.comparator.test(F.col("value"), self.op), F.lit(False))
+        mine = self._mine() & _seen(df)
         if self.latest_only:
-            tested = F.max(F.when(self._mine(), F.struct("ts", "seq", passes.alias("ok")))).over(_in_row())["ok"]
+            tested = F.max(F.when(mine, F.struct("ts", "seq", passes.alias("ok")))).over(_in_row())["ok"]
         else:
-            tested = F.max(F.when(self._mine(), passes)).over(_in_row())
+            tested = F.max(F.when(mine, passes)).over(_in_row())
         return df.withColumns({f"__d{n}": ~F.coalesce(tested, F.lit(not self.filter_if_missing)), f"__i{n}": F.lit(True)}), f"__i{n}", f"__d{n}"
 
 
@@ -361,27 +378,26 @@ class SkipFilter(Filter):
     def flags(self, df):
         df, include, drop = self.child.flags(df)
         n = next(_ids)
-        return df.withColumns({f"__i{n}": F.col(include), f"__d{n}": F.col(drop) | (F.min(F.col(include).cast("int")).over(_in_row()) == 0)}), f"__i{n}", f"__d{n}"
+        return df.withColumns({f"__i{n}": F.col(include), f"__d{n}": F.col(drop) | (F.coalesce(F.min(F.when(_seen(df), F.col(include).cast("int"))).over(_in_row()), F.lit(1)) == 0)}), f"__i{n}", f"__d{n}"
 
 
 @dataclass
 class WhileMatchFilter(Filter):
     """Ends the scan at the first cell or row that the child rejects.
 
-    That place is the least rejected position, found by an aggregation; only
-    this one position comes to the driver.
+    That place is the least rejected position, found by an aggregation to one
+    row, which is broadcast back: it stays on the executors.
     """
 
     child: Filter
 
     def flags(self, df):
+        n = next(_ids)
         at = F.struct("row", "family", "qualifier", (-F.col("ts")).alias("t"), (-F.col("seq")).alias("s"))
         df, include, drop = self.child.flags(df)
-        first = df.filter(~F.col(include) | F.col(drop)).agg(F.min(at).alias("at")).first()["at"]
-        n = next(_ids)
-        names = ("row", "family", "qualifier", "t", "s")
-        before = F.lit(True) if first is None else at < F.struct(*[F.lit(first[c]).cast("long" if c in "ts" else "string" if isinstance(first[c], str) else "binary").alias(c) for c in names])
-        return df.withColumns({f"__i{n}": before, f"__d{n}": F.lit(False)}), f"__i{n}", f"__d{n}"
+        first = df.filter(_seen(df) & (~F.col(include) | F.col(drop))).agg(F.min(at).alias(f"__end{n}"))
+        out = df.join(F.broadcast(first), F.lit(True), "left")
+        return out.withColumns({f"__i{n}": F.coalesce(at < F.col(f"__end{n}"), F.lit(True)), f"__d{n}": F.lit(False)}).drop(f"__end{n}"), f"__i{n}", f"__d{n}"
 
 
 @dataclass
@@ -393,9 +409,12 @@ class PageFilter(Filter):
     def flags(self, df):
         k = next(_ids)
         by = ["region"] if "region" in df.columns else []
-        rows = df.select(*by, *ROW).distinct()
+        rows = df.filter(_seen(df)).select(*by, *ROW).distinct()
         if by:
-            keep = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(*ROW))).filter(F.col("__r") <= self.n)
+            # the first n of each of a region's parts, then of the region: no task sorts a region
+            first = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*ROW)) <= self.n
+            parts = rows.withColumn("__part", F.pmod(F.xxhash64(*ROW), F.lit(PARTS))).withColumn("__first", first(*by, "__part")).filter("__first")
+            keep = parts.withColumn("__first", first(*by)).filter("__first")
         else:
             keep = rows.orderBy(*ROW).limit(self.n)
         keep = keep.select(*[F.col(c).alias(f"__p{c}") for c in ROW], F.lit(True).alias(f"__i{k}"))
@@ -415,15 +434,13 @@ class FilterList(Filter):
         n = next(_ids)
         if self.mode == "ALL":
             # the cells that earlier filters reject are out of sight of later ones
-            include, drop = F.lit(True), F.lit(False)
-            full = df.withColumn(f"__a{n}", F.lit(True))
+            outer = SEEN in df.columns
+            df = df.withColumns({f"__o{n}": _seen(df), SEEN: _seen(df)})
             for f in self.filters:
-                key = f"__a{n}"
-                seen, hidden = full.filter(F.col(key)), full.filter(~F.col(key))
-                seen, i, d = f.flags(seen)
-                seen = seen.withColumn(key, F.col(i) & ~F.col(d)).select(*full.columns)
-                full = seen.unionByName(hidden)
-            return full.withColumns({f"__i{n}": F.col(f"__a{n}"), f"__d{n}": F.lit(False)}), f"__i{n}", f"__d{n}"
+                df, i, d = f.flags(df)
+                df = df.withColumn(SEEN, F.col(SEEN) & F.col(i) & ~F.col(d))
+            df = df.withColumns({f"__i{n}": F.col(SEEN), f"__d{n}": F.lit(False)})
+            return (df.withColumn(SEEN, F.col(f"__o{n}")) if outer else df.drop(SEEN)).drop(f"__o{n}"), f"__i{n}", f"__d{n}"
         include, drop = F.lit(False), F.lit(bool(self.filters))
         for f in self.filters:
             df, i, d = f.flags(df)

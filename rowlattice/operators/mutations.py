@@ -22,6 +22,22 @@ def delete(rows: DataFrame, kind: str, seq: int | Column) -> DataFrame:
     return rows.withColumn("qualifier", q).withColumn("seq", seq if isinstance(seq, Column) else F.lit(seq).cast("long")).withColumn("type", F.lit(KINDS[kind])).withColumn("value", F.lit(None)).select(*CELL)
 
 
+def mutate_rows(changes: list[tuple[str, DataFrame]], seq: int, only_row: str | None = None) -> DataFrame:
+    """Puts and deletes of any kinds as one set of cells with one sequence number, so that all take effect at once or, under check_and, none of a row.
+
+    changes: ("put" or a kind of delete, rows). With only_row every change must
+    be of that row; others raise an error when the cells are read.
+    """
+    out = None
+    for kind, rows in changes:
+        one = put(rows, seq) if kind == "put" else delete(rows, kind, seq)
+        out = one if out is None else out.unionByName(one)  # a marker's value is null
+    if only_row is None:
+        return out
+    other = F.raise_error(F.lit("rows of other keys in a change of one row"))
+    return out.withColumn("row", F.when(F.col("row") == only_row, F.col("row")).otherwise(other.cast("string")))
+
+
 def check_and(cells: DataFrame, condition: Column, family: str, qualifier: str, changes: DataFrame) -> DataFrame:
     """Those of the changes (cells) whose row's newest value in the column meets the condition; a missing value is null."""
     now = resolve(cells).filter((F.col("family") == family) & (F.col("qualifier") == qualifier)).select(F.col("row").alias("__r"), F.col("value").alias("value__now"))

@@ -22,10 +22,11 @@ def copy(cells: DataFrame, scan: Scan = Scan(raw=True), rename: dict[str, str] |
 
 
 def hash_batches(df: DataFrame, batch: Column, columns: list[str]) -> DataFrame:
-    """batch, n, digest: a sum of row hashes of each batch, which needs neither order nor a gathered group."""
-    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns])
-    part = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("decimal(38,0)")
-    return df.select(batch.alias("batch"), part.alias("__h")).groupBy("batch").agg(F.count("*").alias("n"), F.sum("__h").cast("string").alias("digest"))
+    """batch, n, digest: sums of both halves of the row hashes of each batch, which need neither order nor a gathered group."""
+    text = F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]))
+    half = lambda at: F.conv(F.substring("__h", at, 16), 16, 10).cast("decimal(20,0)")
+    total = lambda at: F.sum(half(at)).cast("decimal(38,0)").cast("string")
+    return df.select(batch.alias("batch"), text.alias("__h")).groupBy("batch").agg(F.count("*").alias("n"), F.concat_ws(":", total(1), total(17)).alias("digest"))
 
 
 def sync(source: DataFrame, target: DataFrame, keys: list[str], value: str, batch: Column) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rowlattice.functions.zorder import buckets, box_ranges, unzip, zip_bits
 from rowlattice.index import secondary as ix
+from rowlattice.index.catalog import IndexCatalog
 from rowlattice.operators.aggregates import histogram, value_histogram
 from rowlattice.operators.joins import difference, floor_lookup, intersect_keys, minus_keys, overlapping, union_keys
 from rowlattice.operators.predicates import ColumnRange, conjunction, parse_ranges
@@ -15,6 +16,7 @@ from rowlattice.plans.chooser import Statistics, choose
 from rowlattice.plans.jobs import hash_batches, sync
 from rowlattice.queries import query
 from rowlattice.sources.orders import BITS, INDEXED, orders, scaled
+from rowlattice.sources.places import shared_place
 
 #: Windows that select about the named share of the orders.
 WINDOWS = {"s01": (8000000, 19950101, 19950501), "s1": (13500000, 19950101, 19960301), "s2": (19000000, 19950101, 19960901), "s5": (25000000, 19950101, 19980501), "s10": (36000000, 19950101, 19991001), "s15": (37000000, 19950101, 20010801), "s20": (100000000, 19000101, 21000101)}
@@ -38,6 +40,21 @@ def indexed(spark, sf, columns=INDEXED):
     return ix.Indexed(orders(spark, sf, 10), "row", list(columns))
 
 
+_catalogs: dict[tuple, IndexCatalog] = {}
+
+
+def stored(spark, sf, *kinds, typed=None, names=INDEXED, **options) -> ix.Indexed:
+    """The orders with indexes of some kinds, built in the shared folder at their first use in a session; the typed table is stored with them, sorted by its key."""
+    key = (spark.sparkContext.applicationId, sf, kinds)
+    if key not in _catalogs:
+        catalog = IndexCatalog(spark, shared_place(spark, "index"))
+        base = orders(spark, sf, 10)
+        (typed(base) if typed else base).repartitionByRange("row").sortWithinPartitions("row").write.parquet(f"{catalog.path}/base")
+        catalog.create(spark.read.parquet(f"{catalog.path}/base"), "row", list(names), kinds=kinds, region="region", **options)
+        _catalogs[key] = catalog
+    return _catalogs[key].open(spark.read.parquet(f"{_catalogs[key].path}/base"))
+
+
 def select(window: str) -> str:
     return f'WITH {ORDERS_SQL} SELECT "row", ck, st, t, d, p, region FROM orders_w WHERE {where(window)}'
 
@@ -45,37 +62,37 @@ def select(window: str) -> str:
 for w in WINDOWS:
     query(f"scan_tpch_{w}", lambda s, sf, w=w: ix.no_index(indexed(s, sf), parse_ranges(filter_text(w))), select(w))
 
-PATHS = {"gs": ix.global_secondary, "gc": ix.global_clustering, "cc": ix.complemental_clustering, "ir": ix.in_region, "lc": ix.local_clustering}
-for name, path in PATHS.items():
+PATHS = {"gs": (ix.global_secondary, ("gs",)), "gc": (ix.global_clustering, ("gc", "cct")), "cc": (ix.complemental_clustering, ("gc", "cct")), "ir": (ix.in_region, ("ir",)), "lc": (ix.local_clustering, ("lc",))}
+for name, (path, kinds) in PATHS.items():
     for w in ("s1", "s10"):
-        query(f"idx_{name}_3d_{w}", lambda s, sf, path=path, w=w: path(indexed(s, sf), parse_ranges(filter_text(w))), select(w))
-query("idx_ls_3d", lambda s, sf: ix.in_region(indexed(s, sf), parse_ranges(filter_text("s5"))), select("s5"))
+        query(f"idx_{name}_3d_{w}", lambda s, sf, path=path, kinds=kinds, w=w: path(stored(s, sf, *kinds), parse_ranges(filter_text(w))), select(w))
+query("idx_ls_3d", lambda s, sf: ix.in_region(stored(s, sf, "ir"), parse_ranges(filter_text("s5"))), select("s5"))
 
 
 def _choose_column(s, sf):
     stats = Statistics.of(orders(s, sf, 10), INDEXED, 100)
-    return ix.global_clustering(indexed(s, sf), parse_ranges(filter_text("s1")), chooser=stats.selectivity)
+    return ix.global_clustering(stored(s, sf, "gc", "cct"), parse_ranges(filter_text("s1")), chooser=stats.selectivity)
 
 
 query("idx_gc_chosen_column", _choose_column, select("s1"))
 
 
 def _chosen_path(s, sf):
-    t = indexed(s, sf)
     ranges = parse_ranges(filter_text("s1"))
-    choice = choose(Statistics.of(t.base, INDEXED, 100), ranges, {"gs", "gc"})
-    return {"none": ix.no_index, "gs": ix.global_secondary, "gc": ix.global_clustering}[choice.path](t, ranges)
+    choice = choose(Statistics.of(orders(s, sf, 10), INDEXED, 100), ranges, {"gs", "gc"})
+    path, kinds = {"none": (ix.no_index, ("gs",)), **PATHS}[choice.path]
+    return path(stored(s, sf, *kinds), ranges)
 
 
 query("idx_chosen_path", _chosen_path, select("s1"))
-COVER = [ix.Covering("t", ("d", "p", "st")), ix.Covering("d", ("p",))]
-query("idx_udg_cover", lambda s, sf: ix.user_defined(indexed(s, sf), COVER, parse_ranges(filter_text("s5")), ["row", "t", "st"]), f'WITH {ORDERS_SQL} SELECT "row", t, st FROM orders_w WHERE {where("s5")}')
-query("idx_udg_fallback", lambda s, sf: ix.user_defined(indexed(s, sf), COVER, parse_ranges(filter_text("s5")), ["row", "t", "ck"]), f'WITH {ORDERS_SQL} SELECT "row", t, ck FROM orders_w WHERE {where("s5")}')
-query("idx_udl_cover", lambda s, sf: ix.user_defined(indexed(s, sf), [ix.Covering("d", ("p", "t", "region"))], parse_ranges(filter_text("s5")), ["region", "row", "d"]), f'WITH {ORDERS_SQL} SELECT region, "row", d FROM orders_w WHERE {where("s5")}')
-query("idx_unindexed_residual", lambda s, sf: ix.global_secondary(indexed(s, sf), [*parse_ranges(filter_text("s10")), ColumnRange("ck", "<", 500)]), select("s10") + " AND ck < 500")
-query("idx_strict_bounds", lambda s, sf: ix.global_secondary(indexed(s, sf), [ColumnRange("t", ">", 1000000, "<", 9000000), ColumnRange("p", ">", 1)]), f"WITH {ORDERS_SQL} SELECT * FROM orders_w WHERE t > 1000000 AND t < 9000000 AND p > 1")
-query("idx_disjunction", lambda s, sf: ix.disjunction(indexed(s, sf), [parse_ranges(filter_text("s1")), [ColumnRange("t", "<", 3000000), ColumnRange("p", "=", 1)]], ix.global_secondary), f"WITH {ORDERS_SQL} SELECT * FROM orders_w WHERE ({where('s1')}) OR (t < 3000000 AND p = 1)")
-query("scan_ne", lambda s, sf: ix.global_secondary(indexed(s, sf), [ColumnRange("p", "!=", 3), ColumnRange("t", "<=", 9000000)]), f"WITH {ORDERS_SQL} SELECT * FROM orders_w WHERE p <> 3 AND t <= 9000000")
+COVER = (ix.Covering("t", ("d", "p", "st")), ix.Covering("d", ("p", "t", "region")))
+query("idx_udg_cover", lambda s, sf: ix.user_defined(stored(s, sf, "udl", covering=COVER), COVER, parse_ranges(filter_text("s5")), ["row", "t", "st"]), f'WITH {ORDERS_SQL} SELECT "row", t, st FROM orders_w WHERE {where("s5")}')
+query("idx_udg_fallback", lambda s, sf: ix.user_defined(stored(s, sf, "gs"), COVER, parse_ranges(filter_text("s5")), ["row", "t", "ck"]), f'WITH {ORDERS_SQL} SELECT "row", t, ck FROM orders_w WHERE {where("s5")}')
+query("idx_udl_cover", lambda s, sf: ix.user_defined(stored(s, sf, "udl", covering=COVER), COVER, parse_ranges(filter_text("s5")), ["region", "row", "d"], local=True), f'WITH {ORDERS_SQL} SELECT region, "row", d FROM orders_w WHERE {where("s5")}')
+query("idx_unindexed_residual", lambda s, sf: ix.global_secondary(stored(s, sf, "gs"), [*parse_ranges(filter_text("s10")), ColumnRange("ck", "<", 500)]), select("s10") + " AND ck < 500")
+query("idx_strict_bounds", lambda s, sf: ix.global_secondary(stored(s, sf, "gs"), [ColumnRange("t", ">", 1000000, "<", 9000000), ColumnRange("p", ">", 1)]), f"WITH {ORDERS_SQL} SELECT * FROM orders_w WHERE t > 1000000 AND t < 9000000 AND p > 1")
+query("idx_disjunction", lambda s, sf: ix.disjunction(stored(s, sf, "gs"), [parse_ranges(filter_text("s1")), [ColumnRange("t", "<", 3000000), ColumnRange("p", "=", 1)]], ix.global_secondary), f"WITH {ORDERS_SQL} SELECT * FROM orders_w WHERE ({where('s1')}) OR (t < 3000000 AND p = 1)")
+query("scan_ne", lambda s, sf: ix.global_secondary(stored(s, sf, "gs"), [ColumnRange("p", "!=", 3), ColumnRange("t", "<=", 9000000)]), f"WITH {ORDERS_SQL} SELECT * FROM orders_w WHERE p <> 3 AND t <= 9000000")
 
 
 def _missing(s, sf):
@@ -87,19 +104,33 @@ query("scan_missing_passes", _missing, f'WITH {ORDERS_SQL}, m AS (SELECT * REPLA
 
 
 # ---- z-order ----
-def _md(s, sf, window, by_key=True):
+def _md(s, sf, window, by_key=True, local=False):
     t, a, b = WINDOWS[window]
-    base = scaled(orders(s, sf, 10))
-    table = ix.Indexed(base, "row", ["zt", "zd", "zp"], bits={"zt": BITS, "zd": BITS, "zp": BITS})
+    table = stored(s, sf, "lmd" if local else "md", typed=scaled, names=("zt", "zd", "zp"), bits={"zt": BITS, "zd": BITS, "zp": BITS})
     ranges = [ColumnRange("t", ">=", 0, "<=", t), ColumnRange("d", ">=", a, "<=", b), ColumnRange("p", "=", 3)]
     box = [ColumnRange("zt", ">=", 0, "<=", t >> 6), ColumnRange("zp", ">=", 3, "<=", 3)]
-    return ix.multi_dimensional(table, [*box, *ranges], by_key, 24).drop("zt", "zd", "zp")
+    return ix.multi_dimensional(table, [*box, *ranges], by_key, 24, "region" if local else None).drop("zt", "zd", "zp")
 
 
 for w in ("s1", "s10"):
     query(f"idx_md_box_{w}", partial(_md, window=w), select(w))
-query("idx_lmd_s_box", partial(_md, window="s5"), select("s5"))
-query("idx_lmd_d_box", partial(_md, window="s5", by_key=False), select("s5"))
+query("idx_lmd_s_box", partial(_md, window="s5", local=True), select("s5"))
+query("idx_lmd_d_box", partial(_md, window="s5", by_key=False, local=True), select("s5"))
+
+
+def _appended(s, sf):
+    """An index built over the orders up to a day, then kept up with the later ones."""
+    every = orders(s, sf, 10)
+    old, new = every.filter("d < 19980101"), every.filter("d >= 19980101")
+    catalog = IndexCatalog(s, shared_place(s, "index"))
+    catalog.create(old, "row", ["t", "d"], kinds=("gs", "gc"), region="region")
+    catalog.append(new)
+    t = catalog.open(every)
+    ranges = [ColumnRange("t", ">=", 1000000, "<", 9000000), ColumnRange("d", ">=", 19970601, "<=", 19980630)]
+    return ix.global_secondary(t, ranges).intersect(ix.global_clustering(t, ranges))
+
+
+query("idx_after_append", _appended, f"WITH {ORDERS_SQL} SELECT * FROM orders_w WHERE t >= 1000000 AND t < 9000000 AND d BETWEEN 19970601 AND 19980630")
 
 
 def _zip(s, sf):
@@ -119,9 +150,8 @@ def _buckets(s, sf, most=1000):
 
 def _bucket_sql(most=1000, total=12):
     z = " + ".join(f"(((x >> {b}) & 1) << {2 * b + 1}) + (((y >> {b}) & 1) << {2 * b})" for b in range(6))
-    levels = " UNION ALL ".join(f"SELECT z >> {total - b} AS prefix, {b} AS bits, count(*) AS n FROM z GROUP BY 1" for b in range(total + 1))
-    return f"""WITH {ORDERS_SQL}, v AS (SELECT CAST(floor(t / 800000.0) AS BIGINT) AS x, CAST(p AS BIGINT) AS y FROM orders_w), z AS (SELECT {z} AS z FROM v),
-    l AS ({levels})
+    return f"""WITH {ORDERS_SQL}, v AS (SELECT CAST(floor(t / 800000.0) AS BIGINT) AS x, CAST(p AS BIGINT) AS y FROM orders_w), z AS MATERIALIZED (SELECT {z} AS z, count(*) AS n FROM v GROUP BY 1),
+    l AS MATERIALIZED (SELECT z >> ({total} - CAST(b.bits AS BIGINT)) AS prefix, CAST(b.bits AS INTEGER) AS bits, CAST(sum(n) AS BIGINT) AS n FROM z, range({total + 1}) b(bits) GROUP BY ALL)
     SELECT a.prefix, a.bits, a.n FROM l a LEFT JOIN l b ON b.bits = a.bits - 1 AND b.prefix = a.prefix >> 1
     WHERE (a.n <= {most} OR a.bits = {total}) AND (a.bits = 0 OR b.n > {most})"""
 
@@ -148,15 +178,6 @@ query("rowkey_except", lambda s, sf: minus_keys(keys(s, sf, "t <= 9000000"), key
 query("union_all_scans", lambda s, sf: keys(s, sf, "t <= 3000000").unionByName(keys(s, sf, "p = 1")), f'WITH {ORDERS_SQL} SELECT "row" FROM orders_w WHERE t <= 3000000 UNION ALL SELECT "row" FROM orders_w WHERE p = 1')
 
 
-def _floor(s, sf):
-    points = orders(s, sf).select("row", F.col("ck").cast("long"))
-    steps = s.read.parquet(f"{sf}/customer.parquet").filter(F.col("c_custkey") % 37 == 5).select(F.col("c_custkey").cast("long").alias("k"))
-    return floor_lookup(points, steps, "ck", "k", 64)
-
-
-query("floor_lookup", _floor, f'WITH {ORDERS_SQL} SELECT o."row", o.ck, (SELECT max(c_custkey) FROM customer WHERE c_custkey % 37 = 5 AND c_custkey <= o.ck) AS floor FROM orders_w o')
-
-
 def _floor_dates(s, sf):
     """For each order's day, the last day up to it on which any line was shipped."""
     points = orders(s, sf).select("row", F.unix_date(F.to_date(F.col("d").cast("string"), "yyyyMMdd")).cast("long").alias("day"))
@@ -164,21 +185,23 @@ def _floor_dates(s, sf):
     return floor_lookup(points, steps, "day", "k", 64)
 
 
-query("floor_lookup_whole", _floor_dates, """WITH o AS (SELECT o_orderkey AS "row", CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS day FROM orders), k AS (SELECT DISTINCT CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS k FROM lineitem)
+query("floor_lookup", _floor_dates, """WITH o AS (SELECT o_orderkey AS "row", CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS day FROM orders), k AS (SELECT DISTINCT CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS k FROM lineitem)
     SELECT o."row", o.day, k.k AS floor FROM o ASOF LEFT JOIN k ON o.day >= k.k""")
 
 
 def _two_sides(s, sf):
-    a = orders(s, sf).select("row", F.col("t").alias("v")).filter("row % 11 <> 3")
-    b = orders(s, sf).select("row", F.when(F.col("row") % 13 == 1, F.col("t") + 1).otherwise(F.col("t")).alias("v")).filter("row % 17 <> 5")
+    """Two tables of all orders: each lacks some prices, and of one customer group the second has other values."""
+    o = orders(s, sf)
+    a = o.select("row", F.col("t").alias("v"), "t").filter("NOT t BETWEEN 5000000 AND 6000000").drop("t")
+    b = o.select("row", F.when((F.col("st") == "F") & (F.col("p") == 2), F.col("t") + 1).otherwise(F.col("t")).alias("v"), "t").filter("NOT t BETWEEN 9000000 AND 9500000").drop("t")
     return a, b
 
 
-_SIDES = f"""{ORDERS_SQL}, a AS (SELECT "row" r, t v FROM orders_w WHERE "row" % 11 <> 3), b AS (SELECT "row" r, CASE WHEN "row" % 13 = 1 THEN t + 1 ELSE t END v FROM orders_w WHERE "row" % 17 <> 5)"""
+_SIDES = f"""{ORDERS_SQL}, a AS (SELECT "row" r, t v FROM orders_w WHERE NOT t BETWEEN 5000000 AND 6000000), b AS (SELECT "row" r, CASE WHEN st = 'F' AND p = 2 THEN t + 1 ELSE t END v FROM orders_w WHERE NOT t BETWEEN 9000000 AND 9500000)"""
 _COUNTS = "count(*) FILTER (a.r IS NOT NULL AND b.r IS NULL) AS target_missing, count(*) FILTER (a.r IS NULL AND b.r IS NOT NULL) AS source_missing, count(*) FILTER (a.v <> b.v) AS different"
 query("sync_diff", lambda s, sf: difference(*_two_sides(s, sf), ["row"], "v"), f"WITH {_SIDES} SELECT count(*) FILTER (a.v = b.v) AS matching, {_COUNTS} FROM a FULL JOIN b ON a.r = b.r")
 query("sync_by_hash", lambda s, sf: sync(*_two_sides(s, sf), ["row"], "v", F.floor(F.col("row") / 100)).drop("matching"), f"WITH {_SIDES} SELECT {_COUNTS} FROM a FULL JOIN b ON a.r = b.r")
-query("hash_batches", lambda s, sf: hash_batches(orders(s, sf), F.floor(F.col("row") / 500), ["row", "t"]), f"""WITH {ORDERS_SQL} SELECT CAST(floor("row" / 500.0) AS BIGINT) AS batch, count(*) AS n, CAST(CAST(sum(CAST(('0x' || substr(md5("row" || chr(31) || t), 1, 12)) AS HUGEINT)) AS HUGEINT) AS VARCHAR) AS digest FROM orders_w GROUP BY 1""")
+query("hash_batches", lambda s, sf: hash_batches(orders(s, sf), F.floor(F.col("row") / 500), ["row", "t"]), f"""WITH {ORDERS_SQL} SELECT CAST(floor("row" / 500.0) AS BIGINT) AS batch, count(*) AS n, CAST(sum(CAST(('0x' || substr(md5("row" || chr(31) || t), 1, 16)) AS UBIGINT)) AS VARCHAR) || ':' || CAST(sum(CAST(('0x' || substr(md5("row" || chr(31) || t), 17, 16)) AS UBIGINT)) AS VARCHAR) AS digest FROM orders_w GROUP BY 1""")
 
 # ---- statistics ----
 query("hist_equiwidth", lambda s, sf: histogram(orders(s, sf), "t", 0, 50000000, 100), f"WITH {ORDERS_SQL} SELECT CAST(greatest(least(floor(t::DOUBLE * 100 / 50000000.0), 99), 0) AS INTEGER) AS bucket, count(*) AS n FROM orders_w GROUP BY 1")
@@ -187,8 +210,21 @@ query("hist_set", lambda s, sf: value_histogram(orders(s, sf), "p", [1, 3, 5]),
 
 def _selectivity(s, sf):
     stats = Statistics.of(orders(s, sf), INDEXED, 1000)
-    rows = [(w, *(round(stats.selectivity(r), 3) for r in parse_ranges(filter_text(w)))) for w in WINDOWS]
+    rows = [(w, *(round(stats.selectivity(r), 6) for r in parse_ranges(filter_text(w)))) for w in WINDOWS]
     return s.createDataFrame(rows, "w string, t double, d double, p double")
 
 
-query("selectivity", _selectivity)
+def _selectivity_sql(parts=1000):
+    """The same estimate from equal-width histograms: whole buckets count fully, cut ones by their share, but by one row at least."""
+    asked = ", ".join(f"('{w}', 't', 0.0, {t}.0), ('{w}', 'd', {a}.0, {b}.0), ('{w}', 'p', 3.0, 3.0)" for w, (t, a, b) in WINDOWS.items())
+    return f"""WITH {ORDERS_SQL}, v AS (UNPIVOT (SELECT CAST(t AS DOUBLE) AS t, CAST(d AS DOUBLE) AS d, CAST(p AS DOUBLE) AS p FROM orders_w) ON t, d, p INTO NAME c VALUE x),
+    e AS (SELECT c, min(x) AS lo, max(x) AS hi, count(*) AS n FROM v GROUP BY c),
+    h AS (SELECT c, lo, hi, e.n, CAST(least(floor((x - lo) * {parts} / greatest(hi - lo, 1e-9)), {parts - 1}) AS INTEGER) AS b, count(*) AS k FROM v JOIN e USING (c) GROUP BY ALL),
+    q(w, c, a, z) AS (VALUES {asked}),
+    s AS (SELECT w, h.c, n, k, a, z, lo + b * (greatest(hi - lo, 1e-9) / {parts}) AS x0, lo + (b + 1) * (greatest(hi - lo, 1e-9) / {parts}) AS x1, greatest(hi - lo, 1e-9) / {parts} AS width FROM h JOIN q ON q.c = h.c WHERE a <= hi AND z >= lo),
+    r AS (SELECT w, c, least(1.0, sum(k * CASE WHEN x0 >= a AND x1 <= z THEN 1.0 ELSE greatest(least((least(x1, z) - greatest(x0, a)) / width, 1.0), 1.0 / k) END) / max(n)) AS share FROM s WHERE x1 >= a AND x0 <= z GROUP BY ALL)
+    SELECT q.w, round(coalesce(max(share) FILTER (q.c = 't'), 0.0), 6) AS t, round(coalesce(max(share) FILTER (q.c = 'd'), 0.0), 6) AS d, round(coalesce(max(share) FILTER (q.c = 'p'), 0.0), 6) AS p
+    FROM q LEFT JOIN r ON r.w = q.w AND r.c = q.c GROUP BY q.w"""
+
+
+query("selectivity", _selectivity, _selectivity_sql())

@@ -97,8 +97,7 @@ query("constraint_pass", lambda s, sf: mutations.constrained(event_cells(s, sf,
 
 # ---- shapes ----
 query("wide_from_cells", lambda s, sf: to_wide(event_cells(s, sf, False), {"click": "bigint", "view": "bigint"}), f"WITH {_LATEST} SELECT \"row\", max(value) FILTER (qualifier = 'click') AS click, max(value) FILTER (qualifier = 'view') AS view FROM l WHERE qualifier IN ('click', 'view') GROUP BY \"row\"")
-query("cells_from_wide", lambda s, sf: to_cells(orders(s, sf).filter("row < 500"), "row", "f", ["t", "d", "p", "st"]).select("row", "qualifier", "value"), """SELECT o_orderkey AS "row", x.q AS qualifier, x.v AS value FROM orders, LATERAL (VALUES ('t', CAST(CAST(trunc(o_totalprice * 100) AS INTEGER) AS VARCHAR)), ('d', strftime(o_orderdate, '%Y%m%d')), ('p', substr(o_orderpriority, 1, 1)), ('st', o_orderstatus)) x(q, v) WHERE o_orderkey < 500""")
-query("cells_from_wide_whole", lambda s, sf: to_cells(orders(s, sf), "row", "f", ["t", "d", "p", "st"]).select("row", "qualifier", "value"), """SELECT o_orderkey AS "row", x.q AS qualifier, x.v AS value FROM orders, LATERAL (VALUES ('t', CAST(CAST(trunc(o_totalprice * 100) AS INTEGER) AS VARCHAR)), ('d', strftime(o_orderdate, '%Y%m%d')), ('p', substr(o_orderpriority, 1, 1)), ('st', o_orderstatus)) x(q, v)""")
+query("cells_from_wide", lambda s, sf: to_cells(orders(s, sf), "row", "f", ["t", "d", "p", "st"]).select("row", "qualifier", "value"), """SELECT o_orderkey AS "row", x.q AS qualifier, x.v AS value FROM orders, LATERAL (VALUES ('t', CAST(CAST(trunc(o_totalprice * 100) AS INTEGER) AS VARCHAR)), ('d', strftime(o_orderdate, '%Y%m%d')), ('p', substr(o_orderpriority, 1, 1)), ('st', o_orderstatus)) x(q, v)""")
 query("nested_rows", lambda s, sf: nested(resolve(event_cells(s, sf), 2)).select("row", F.size("families").alias("n_families"), F.aggregate(F.map_values("families"), F.lit(0), lambda a, m: a + F.size(m)).alias("n_columns")), f"WITH {DEDUP} SELECT \"row\", CAST(count(DISTINCT family) AS INTEGER) AS n_families, CAST(count(DISTINCT family || qualifier) AS INTEGER) AS n_columns FROM ranked WHERE version <= 2 GROUP BY \"row\"")
 query("regions", lambda s, sf: with_region(event_cells(s, sf, False), ["000050", "000100"]).groupBy("region").agg(F.countDistinct("row").alias("rows")), f"WITH {CELLS_SQL} SELECT CASE WHEN \"row\" >= '000100' THEN 2 WHEN \"row\" >= '000050' THEN 1 ELSE 0 END AS region, count(DISTINCT \"row\") AS rows FROM cells WHERE type = 0 GROUP BY 1")
 

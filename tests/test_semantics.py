@@ -180,6 +180,122 @@ def test_materialised_indexes_agree(spark, sf, tmp_path):
     catalog.drop()
 
 
+def test_registered_index_queries_read_their_indexes(spark, sf):
+    """Each path's plan scans its stored table with a pushed range."""
+    queries.load()
+    for name, table, column in (("idx_gs_3d_s1", "gs_t", "t"), ("idx_gc_3d_s1", "gc_t", "t"), ("idx_cc_3d_s1", "cct", "t"), ("idx_ir_3d_s1", "ir_d", "d"), ("idx_lc_3d_s1", "lc_t", "t"), ("idx_udg_cover", "udg_t", "t"), ("idx_udl_cover", "udl_d", "d"), ("idx_md_box_s1", "md", "zkey"), ("idx_lmd_s_box", "lmd", "zkey")):
+        scans = [part for part in queries.QUERIES[name](spark, sf)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")).split("Scan parquet") if f"/{table}]" in part]
+        assert scans and any(f"GreaterThanOrEqual({column}," in part or f"LessThanOrEqual({column}," in part for part in scans), name
+
+
+def test_appended_rows_reach_every_index(spark, sf, tmp_path):
+    base = scaled(orders(spark, sf, 4))
+    catalog = IndexCatalog(spark, str(tmp_path / "ix"))
+    catalog.create(base.filter("d < 19980101"), "row", INDEXED, kinds=("gs", "gc", "lc", "ir", "cct", "udl"), region="region", covering=(Covering("d", ("p", "t")),))
+    catalog.append(base.filter("d >= 19980101"))
+    for name, copy in catalog.open(base).copies.items():
+        assert copy.count() == base.count(), name
+
+
+def test_nested_lists_read_their_table_once(spark):
+    from rowlattice.operators import filters as f
+    from rowlattice.operators import predicates as p
+
+    cells = golden(spark)
+    for n in (2, 6, 10):
+        parts = [f.ValueFilter(">", p.Binary(1)), f.FirstKeyOnlyFilter(), f.SingleColumnValueFilter("f", "q", "<", p.Binary(15)), f.ColumnCountGetFilter(3), f.SkipFilter(f.ValueFilter(">", p.Binary(2)))]
+        tree = f.either(f.both(*[parts[i % 5] for i in range(n)]), f.both(f.PrefixFilter("zzz"), f.FirstKeyOnlyFilter()))
+        plan = tree.apply(cells)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+    got = f.either(f.both(f.ValueFilter(">", p.Binary(5)), f.FirstKeyOnlyFilter())).apply(cells).collect()
+    # the first cell in sight, not the first of the row
+    assert {(r["row"], r["qualifier"]) for r in got} == {(f"testRow{i:04d}", "q" if i > 5 else f"q{i}") for i in range(1, 20)}
+
+
+def test_floors_by_levels(spark, monkeypatch):
+    from rowlattice.operators import joins
+
+    monkeypatch.setattr(joins, "LEVEL_ROWS", 5)
+    monkeypatch.setattr(joins, "LEVEL", 3)
+    rnd = random.Random(4)
+    points = [(i, rnd.randrange(-500, 3000)) for i in range(300)]
+    steps = sorted({rnd.randrange(0, 2500) for _ in range(60)})
+    got = joins.floor_lookup(spark.createDataFrame(points, "i long, x long"), spark.createDataFrame([(s,) for s in steps], "s long"), "x", "s", 8)
+    for r in got.collect():
+        assert r["floor"] == max((s for s in steps if s <= r["x"]), default=None)
+
+
+def test_medians_of_text_keys_and_hot_keys(spark):
+    rnd = random.Random(5)
+    rows = [(f"k{min(rnd.randrange(900), 300):05d}", rnd.randrange(1, 50)) for _ in range(3000)]
+    by = {}
+    for k, w in rows:
+        by[k] = by.get(k, 0) + w
+    half, run, want = sum(by.values()) / 2, 0, None
+    top = {k: max(w for x, w in rows if x == k) for k in by}
+    for k in sorted(by):
+        run += by[k]
+        want = top[k] if run <= half else want
+    d = spark.createDataFrame(rows, "k string, w long")
+    assert aggregates.weighted_median(d, "k", "w", most=10).first()[0] == aggregates.weighted_median(d, "k", "w").first()[0] == want
+
+
+def test_many_boxes_meet_buckets_by_key(spark):
+    from rowlattice.operators.joins import overlapping
+
+    rnd = random.Random(6)
+    boxes = [(a, a + rnd.randrange(40)) for a in (rnd.randrange(900) for _ in range(60))]
+    sizes = [(w * k, w * k + w - 1) for w in (1, 4, 32) for k in range(0, 1000 // w, 3)]
+    b, k = spark.createDataFrame(boxes, "low long, high long"), spark.createDataFrame(sizes, "start long, end long")
+    want = sorted((s, e, lo, hi) for s, e in sizes for lo, hi in boxes if lo <= e and s <= hi)
+    for most in (10, 1000):
+        assert sorted(tuple(r) for r in overlapping(b, k, most=most).select("start", "end", "low", "high").collect()) == want
+
+
+def test_totals_of_large_numbers(spark):
+    big = 4_000_000_000
+    d = spark.createDataFrame([(i % 3, big + i) for i in range(9)], "region long, v long")
+    one = aggregates.total(aggregates.by_region(d, "v")).first()
+    assert one["std"] == pytest.approx((60 / 9) ** 0.5) and one["sum"] == 9 * big + 36
+
+
+def test_row_mutations(spark):
+    cells = spark.createDataFrame([("a", "f", "q", 1, 1, PUT, 5), ("b", "f", "q", 1, 1, PUT, 6), ("b", "f", "r", 1, 1, PUT, 7)], SCHEMA)
+    puts = spark.createDataFrame([("a", "f", "q", 2, 8), ("b", "f", "q", 2, 9)], "row string, family string, qualifier string, ts long, value long")
+    gone = spark.createDataFrame([("b", "f", "r", 5)], "row string, family string, qualifier string, ts long")
+    changes = mutations.mutate_rows([("put", puts), ("column", gone)], 10)
+    after = resolve(cells.unionByName(changes))
+    assert {(r["row"], r["qualifier"], r["value"]) for r in after.collect()} == {("a", "q", 8), ("b", "q", 9)}
+    kept = mutations.check_and(cells, F.col("current") == 6, "f", "q", changes)
+    assert {r["row"] for r in kept.collect()} == {"b"} and kept.count() == 2
+    with pytest.raises(Exception, match="rows of other keys"):
+        mutations.mutate_rows([("put", puts)], 10, only_row="a").collect()
+
+
+def test_hash_functions():
+    from rowlattice.functions import hashes
+
+    # published check values
+    assert hashes.murmur3_int(b"", 0) == 0 and hashes.murmur3_int(b"hello", 0) == 0x248BFA47 and hashes.murmur3_int(b"The quick brown fox jumps over the lazy dog", 0) == 0x2E4FF723
+    assert hashes.one_at_a_time_int(b"a") == 0xCA2E9442 and hashes.one_at_a_time_int(b"The quick brown fox jumps over the lazy dog") == 0x519E91F5
+
+
+def test_hash_columns(spark):
+    from rowlattice.functions import hashes
+
+    texts = ["", "a", "ab", "abc", "abcd", "hello", "é😀 and more", "x" * 100]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in d.select("t", hashes.murmur3(F.col("t"), 7).alias("m"), hashes.one_at_a_time(F.col("t")).alias("j")).collect():
+        assert r["m"] == hashes.murmur3_int(r["t"].encode(), 7) and r["j"] == hashes.one_at_a_time_int(r["t"].encode())
+
+
+def test_custom_aggregate(spark):
+    """A product, which no built-in merges, by partials of each region."""
+    d = spark.createDataFrame([(i % 4, i) for i in range(1, 13)], "region int, v long")
+    made = aggregates.custom_aggregate(d, "v", F.lit(1).cast("long"), lambda a, v: a * v, lambda a, b: a * b, lambda a: a)
+    assert made.first()["result"] == 479001600
+
+
 def test_chooser(spark, sf):
     stats = Statistics.of(orders(spark, sf), INDEXED, 100)
     assert choose(stats, parse_ranges(filter_text("s01")), {"gc"}).path == "gc"
@@ -264,9 +380,9 @@ def test_zip_and_unzip(spark, d, bits):
 def test_whole_table_queries(spark, sf):
     """No id prefix and no modulo filter: every order is there, and joins have keys of either side and of both."""
     queries.load()
-    q = {n: f(spark, sf) for n, f in queries.QUERIES.items() if "whole" in n}
+    q = {n: queries.QUERIES[n](spark, sf) for n in ("cells_from_wide", "floor_lookup", "join_full")}
     n_orders = spark.read.parquet(f"{sf}/orders.parquet").count()
-    assert q["cells_from_wide_whole"].select("row").distinct().count() == q["floor_lookup_whole"].count() == n_orders
-    full = q["join_whole_full"].collect()
+    assert q["cells_from_wide"].select("row").distinct().count() == q["floor_lookup"].count() == n_orders
+    full = q["join_full"].collect()
     assert sum(r["n"] or 0 for r in full) == n_orders
     assert {(r["k"] is None, r["pk"] is None) for r in full} == {(False, False), (False, True), (True, False)}
