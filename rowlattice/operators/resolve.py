@@ -78,3 +78,8 @@ def compacted(cells: DataFrame, families: dict[str, Family], now: int | None = N
     """What a full rewrite of a table keeps: no markers, no hidden, expired or surplus cells."""
     most = max([f.max_versions for f in families.values()], default=1)
     return resolve(cells, most, families, now)
+
+
+def unexpired(cells: DataFrame, now: int) -> DataFrame:
+    """Cells whose own time to live (column ttl, null for none) isn't over."""
+    return cells.filter(F.col("ttl").isNull() | (F.col("ts") + F.col("ttl") > F.lit(now)))

@@ -27,6 +27,7 @@ query("agg_cells_family", lambda s, sf: a.cell_aggregates(event_cells(s, sf, Fal
 query("agg_empty", lambda s, sf: a.cell_aggregates(event_cells(s, sf, False).filter("family = 'z'"), F.col("value")).select("max", "sum", "rows", F.isnan("avg").alias("avg_nan"), F.isnan("std").alias("std_nan")), f"WITH {PUTS_SQL} SELECT max(value) AS max, CAST(sum(value) AS BIGINT) AS sum, count(DISTINCT \"row\") AS rows, true AS avg_nan, true AS std_nan FROM cells WHERE family = 'z'")
 query("agg_median_weighted", lambda s, sf: a.weighted_median(s.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.floor("o_totalprice").cast("long").alias("v")), "k", "v"), "WITH o AS (SELECT o_orderkey AS k, CAST(floor(o_totalprice) AS BIGINT) AS v FROM orders), r AS (SELECT *, sum(v) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) AS run FROM o) SELECT arg_max(v, k) AS median FROM r WHERE run <= (SELECT sum(v) / 2.0 FROM o)")
 query("agg_median_by_weight", lambda s, sf: a.weighted_median(s.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.floor("o_totalprice").cast("long").alias("v"), F.col("o_custkey").alias("w")), "k", "v", "w"), "WITH o AS (SELECT o_orderkey AS k, CAST(floor(o_totalprice) AS BIGINT) AS v, o_custkey AS w FROM orders), r AS (SELECT *, sum(w) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) AS run FROM o) SELECT arg_max(v, k) AS median FROM r WHERE run <= (SELECT sum(w) / 2.0 FROM o)")
+query("agg_custom", lambda s, sf: a.custom_aggregate(lines(s, sf), "q", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("odd")), lambda x, v: F.struct((x["n"] + 1).alias("n"), F.when(v % 2 == 1, x["odd"] + v).otherwise(x["odd"]).alias("odd")), lambda x, y: F.struct((x["n"] + y["n"]).alias("n"), (x["odd"] + y["odd"]).alias("odd")), lambda x: x).select("result.n", "result.odd"), f"WITH {LINES_SQL} SELECT count(*) AS n, CAST(sum(q) FILTER (q % 2 = 1) AS BIGINT) AS odd FROM l")
 query("agg_percentile", lambda s, sf: lines(s, sf).groupBy("region").agg(F.percentile("q", 0.5).alias("median")), f"WITH {LINES_SQL} SELECT region, quantile_cont(q, 0.5) AS median FROM l GROUP BY region")
 query("row_counter", lambda s, sf: a.row_count(event_cells(s, sf, False)), f'WITH {PUTS_SQL} SELECT count(DISTINCT "row") AS rows FROM cells')
 query("cell_counter", lambda s, sf: a.cell_counts(event_cells(s, sf, False)), f'WITH {PUTS_SQL}, p AS (SELECT "row", family, qualifier, count(*) AS v FROM cells GROUP BY ALL) SELECT family, qualifier, CAST(sum(v) AS BIGINT) AS cells, count(*) AS rows, max(v) AS most_versions FROM p GROUP BY ALL')

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rowlattice.functions import codecs as c
+from rowlattice.functions import hashes
 from rowlattice.functions.visibility import allows
 from rowlattice.model import CELL, to_cells
 from rowlattice.plans.jobs import copy
@@ -51,3 +52,28 @@ def _dump(s, sf):
 
 
 query("export_import", _dump, f"WITH {CELLS_SQL} SELECT \"row\", CASE WHEN family = 'b' THEN 'y' ELSE family END AS family, qualifier, ts, seq, type, value FROM cells WHERE qualifier <> 'view'")
+
+
+def _text_with_cell_options(s, sf):
+    """Text whose lines say how long a cell lives, who may see it, and more of it."""
+    from rowlattice.operators.filters import VisibilityFilter
+    from rowlattice.operators.resolve import unexpired
+    from rowlattice.sources.tables import TextSpec, read_text, write_text
+
+    path = shared_place(s, "text")
+    wide = orders(s, sf).select(F.col("row").cast("string").alias("row"), "d", (F.col("p") * 10000).alias("ttl"), "st", F.concat(F.lit("who=>"), "ck", F.lit(",p=>"), "p").alias("attributes"), "t")
+    write_text(wide, path, wide.columns)
+    cells = read_text(s, path, TextSpec(("ROW_KEY", "TS_KEY", "CELL_TTL", "CELL_VISIBILITY", "ATTRIBUTES_KEY", "f:t")))
+    seen = VisibilityFilter(["F", "P"]).apply(unexpired(cells, 20000101))
+    return seen.select(F.col("row").cast("long").alias("row"), "ts", "ttl", F.element_at("attributes", "who").alias("who"), F.col("value").cast("long").alias("value"))
+
+
+query("tsv_cell_options", _text_with_cell_options, """WITH o AS (SELECT o_orderkey AS "row", CAST(strftime(o_orderdate, '%Y%m%d') AS BIGINT) AS ts, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) * 10000 AS ttl, CAST(o_custkey AS VARCHAR) AS who, CAST(trunc(o_totalprice * 100) AS BIGINT) AS value, o_orderstatus AS st FROM orders)
+    SELECT "row", ts, ttl, who, value FROM o WHERE st IN ('F', 'P') AND ts + ttl > 20000101""")
+
+_M = "4294967295"
+query("fn_one_at_a_time", lambda s, sf: s.read.parquet(f"{sf}/part.parquet").select("p_partkey", hashes.one_at_a_time(F.col("p_name")).alias("h")), f"""WITH b AS (SELECT p_partkey, list_reduce(list_prepend(0::BIGINT, list_transform(range(1, length(p_name) + 1), lambda i: CAST(ord(substr(p_name, i, 1)) AS BIGINT))),
+        lambda h, c: list_transform([list_transform([(h + c) & {_M}], lambda x: (x + (x << 10)) & {_M})[1]], lambda y: xor(y, y >> 6))[1]) AS h FROM part),
+    c AS (SELECT p_partkey, (h + (h << 3)) & {_M} AS h FROM b), d AS (SELECT p_partkey, xor(h, h >> 11) AS h FROM c)
+    SELECT p_partkey, (h + (h << 15)) & {_M} AS h FROM d""")
+query("fn_murmur3", lambda s, sf: s.read.parquet(f"{sf}/part.parquet").select("p_partkey", hashes.murmur3(F.col("p_name"), 7).alias("h")))

@@ -90,6 +90,31 @@ def _check_and_put(s, sf):
 
 _LATEST = f"""{CELLS_SQL}, l AS (SELECT "row", family, qualifier, arg_max(value, (ts, seq)) AS value FROM cells WHERE type = 0 GROUP BY ALL)"""
 query("check_and_put", _check_and_put, f"WITH {_LATEST} SELECT \"row\", 'flag' AS qualifier, 1::BIGINT AS value FROM l WHERE family = 'a' AND qualifier = 'view' AND value > 10000")
+
+
+def _check_and_delete(s, sf):
+    """Rows whose newest view is above 10000 lose all their clicks."""
+    puts = event_cells(s, sf, False)
+    gone = puts.select("row").distinct().select("row", F.lit("a").alias("family"), F.lit("click").alias("qualifier"), F.lit(2**62).cast("long").alias("ts"))
+    markers = mutations.check_and(puts, F.col("current") > 10000, "a", "view", mutations.delete(gone, "column", 10**9))
+    return resolve(puts.unionByName(markers.withColumn("value", F.lit(None).cast("long")))).select("row", "family", "qualifier", "value")
+
+
+query("check_and_delete", _check_and_delete, f"""WITH {_LATEST}, hit AS (SELECT "row" FROM l WHERE family = 'a' AND qualifier = 'view' AND value > 10000)
+    SELECT "row", family, qualifier, value FROM l WHERE NOT (family = 'a' AND qualifier = 'click' AND "row" IN (SELECT "row" FROM hit))""")
+
+
+def _mutate_rows(s, sf):
+    """One change of each row with a click: a new total and no click any more, at once."""
+    puts = event_cells(s, sf, False)
+    clicks = puts.filter("family = 'a' AND qualifier = 'click'").groupBy("row").agg(F.sum("value").alias("value"))
+    new = clicks.select("row", F.lit("a").alias("family"), F.lit("total").alias("qualifier"), F.lit(2**62).cast("long").alias("ts"), "value")
+    changes = mutations.mutate_rows([("put", new), ("column", new.drop("value").withColumn("qualifier", F.lit("click")))], 10**9)
+    return resolve(puts.unionByName(changes.withColumn("value", F.col("value").cast("long")))).select("row", "family", "qualifier", "value")
+
+
+query("mutate_rows", _mutate_rows, f"""WITH {_LATEST} SELECT "row", family, qualifier, value FROM l WHERE NOT (family = 'a' AND qualifier = 'click')
+    UNION ALL SELECT "row", 'a', 'total', CAST(sum(value) AS BIGINT) FROM cells WHERE type = 0 AND family = 'a' AND qualifier = 'click' GROUP BY 1""")
 query("increments", lambda s, sf: mutations.increments(event_cells(s, sf, False)), f'WITH {CELLS_SQL} SELECT "row", family, qualifier, CAST(sum(value) AS BIGINT) AS value FROM cells WHERE type = 0 GROUP BY ALL')
 query("appends", lambda s, sf: mutations.appends(event_cells(s, sf, False), "-"), f"WITH {CELLS_SQL} SELECT \"row\", family, qualifier, string_agg(CAST(value AS VARCHAR), '-' ORDER BY seq) AS value FROM cells WHERE type = 0 GROUP BY ALL")
 query("bulk_delete", lambda s, sf: mutations.bulk_delete(event_cells(s, sf, False), (F.col("qualifier") == "click") & (F.col("value") < 1000)).select(*OUT), f"WITH {CELLS_SQL} SELECT {COLS} FROM cells WHERE type = 0 AND NOT (qualifier = 'click' AND value < 1000)")

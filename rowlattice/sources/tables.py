@@ -45,7 +45,12 @@ class TextSpec:
 
 
 def read_text(spark: SparkSession, path: str, spec: TextSpec, ts: int = 0, skip_bad: bool = True) -> DataFrame:
-    """Cells of a separated text. A line with another number of fields, an empty key or a bad timestamp is left out, or an error."""
+    """Cells of a separated text. A line with another number of fields, an empty key, a bad timestamp or a bad time to live is left out, or an error.
+
+    Special columns of the specification become columns of the cells: ttl (how
+    long after ts a cell lives; none if empty), visibility (a label expression)
+    and attributes (a map of name=>value pairs between commas).
+    """
     parts = F.split(F.col("value"), f"\\Q{spec.sep}\\E", -1)
     lines = spark.read.text(path).select(parts.alias("p"))
     key = F.element_at("p", spec.columns.index(ROW_KEY) + 1)
@@ -53,10 +58,20 @@ def read_text(spark: SparkSession, path: str, spec: TextSpec, ts: int = 0, skip_
     good = (F.size("p") == len(spec.columns)) & (F.length(F.get("p", F.lit(spec.columns.index(ROW_KEY)))) > 0)
     if STAMP in spec.columns:
         good = good & F.get("p", F.lit(spec.columns.index(STAMP))).rlike(r"^\d{1,18}$")
+    at = lambda name: F.get("p", F.lit(spec.columns.index(name)))
+    more = []
+    if TTL in spec.columns:
+        good = good & at(TTL).rlike(r"^\d{0,18}$")
+        more.append(F.when(F.length(at(TTL)) > 0, at(TTL)).cast("long").alias("ttl"))
+    if VISIBILITY in spec.columns:
+        more.append(F.nullif(at(VISIBILITY), F.lit("")).alias("visibility"))
+    if ATTRIBUTES in spec.columns:
+        more.append(F.str_to_map(at(ATTRIBUTES), F.lit(","), F.lit("=>")).alias("attributes"))
     good = F.coalesce(good, F.lit(False))
     lines = lines.filter(good) if skip_bad else lines.filter(F.when(good, True).otherwise(F.raise_error(F.lit("bad line")).cast("boolean")))
     cell = F.explode(F.array(*[F.struct(F.lit(f).alias("family"), F.lit(q).alias("qualifier"), F.element_at("p", i + 1).alias("value")) for i, f, q in spec.cells])).alias("x")
-    return lines.select(key.alias("row"), stamp.alias("ts"), cell).select("row", "x.family", "x.qualifier", "ts", F.lit(0).cast("long").alias("seq"), F.lit(PUT).alias("type"), "x.value")
+    names = [n for n, special in (("ttl", TTL), ("visibility", VISIBILITY), ("attributes", ATTRIBUTES)) if special in spec.columns]
+    return lines.select(key.alias("row"), stamp.alias("ts"), *more, cell).select("row", "x.family", "x.qualifier", "ts", F.lit(0).cast("long").alias("seq"), F.lit(PUT).alias("type"), "x.value", *names)
 
 
 def write_text(wide: DataFrame, path: str, columns: list[str], sep: str = "\t") -> None:
