@@ -54,11 +54,14 @@ SERIAL = 0.5
 
 
 def upper_tail(z: Column) -> Column:
-    """1 minus the normal distribution function, by a polynomial whose relative error is small in the tail (fixed values)."""
+    """1 minus the normal distribution function to half a percent: a polynomial (fixed values), and far out the asymptotic series."""
     x = F.abs(z)
     t = 1 / (1 + 0.2316419 * x)
     poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
     tail = F.exp(-x * x / 2) / math.sqrt(2 * math.pi) * poly
+    q = 1 / F.greatest(x * x, F.lit(1.0))
+    far = F.exp(-x * x / 2) / math.sqrt(2 * math.pi) / F.greatest(x, F.lit(1.0)) * (1 - q + 3 * q * q - 15 * q * q * q)
+    tail = F.when(x > 4, far).otherwise(tail)
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
