@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from rowlattice.llm._common import WORD, attach_groups, cut, small_side, table
@@ -85,8 +85,9 @@ def solve(hist: DataFrame, sources: DataFrame, cap: int = 3, steps: int = 200, n
     # a source that isn't asked takes cap copies of everything
     start = F.when(asked, F.lit(0.0)).otherwise((math.log(cap) + 1) * col("unit"))
     state = cut(sources.withColumns({"asked": asked, "open": asked, "tilt": start, "best": start, "best_off": F.when(asked, inf).otherwise(F.lit(0.0)), "low": -inf, "high": inf, "reach": F.lit(60.0)}))
+    left = state.filter("open").count()
     for _ in range(steps):
-        if state.filter("open").isEmpty():
+        if not left:
             break
         words = (col("n") * col("size")).cast("decimal(38,0)")
         tried = _beside(hist, state.filter("open").select("source", "tilt", "unit", "rows_of"), n, n_rows, "size").withColumn("r", _rate(col("tilt"), col("size"), col("unit"), cap))
@@ -101,7 +102,10 @@ def solve(hist: DataFrame, sources: DataFrame, cap: int = 3, steps: int = 200, n
         far = endless & ~(within & (F.abs("step") < col("reach")))
         tilt = F.when(far, -F.signum("off") * col("reach")).when(within, col("step")).otherwise((col("low") + col("high")) / 2)
         more = (F.abs("off") > near * col("target")) & (endless | (col("high") - col("low") > 1e-10 * F.greatest(F.lit(10.0), F.abs(tilt))))
-        state = cut(now.select(*[c for c in state.columns if c not in ("open", "tilt", "reach")], (col("open") & F.coalesce(more, F.lit(False))).alias("open"), F.when(col("open"), tilt).otherwise(col("tilt")).alias("tilt"), F.when(F.coalesce(far, F.lit(False)), col("reach") * 2).otherwise(col("reach")).alias("reach")))
+        seen = Observation()
+        now = now.select(*[c for c in state.columns if c not in ("open", "tilt", "reach")], (col("open") & F.coalesce(more, F.lit(False))).alias("open"), F.when(col("open"), tilt).otherwise(col("tilt")).alias("tilt"), F.when(F.coalesce(far, F.lit(False)), col("reach") * 2).otherwise(col("reach")).alias("reach"))
+        state = cut(now.observe(seen, F.count(F.when(col("open"), 1)).alias("n")))
+        left = seen.get["n"]
     missed = state.filter(col("asked") & (col("best_off") > near * col("target") + col("words") / ONE)).first()
     if missed:
         raise RuntimeError(f"mixing: no rates found for source {missed['source']!r} in {steps} steps, {missed['best_off']:.0f} words from its target {missed['target']:.0f}")
