@@ -36,10 +36,6 @@ def where(window: str) -> str:
     return f"t >= 0 AND t <= {t} AND d >= {a} AND d <= {b} AND p = 3"
 
 
-def indexed(spark, sf, columns=INDEXED):
-    return ix.Indexed(orders(spark, sf, 10), "row", list(columns))
-
-
 _catalogs: dict[tuple, IndexCatalog] = {}
 
 
@@ -60,7 +56,7 @@ def select(window: str) -> str:
 
 
 for w in WINDOWS:
-    query(f"scan_tpch_{w}", lambda s, sf, w=w: ix.no_index(indexed(s, sf), parse_ranges(filter_text(w))), select(w))
+    query(f"scan_tpch_{w}", lambda s, sf, w=w: ix.no_index(stored(s, sf, "gs"), parse_ranges(filter_text(w))), select(w))
 
 PATHS = {"gs": (ix.global_secondary, ("gs",)), "gc": (ix.global_clustering, ("gc", "cct")), "cc": (ix.complemental_clustering, ("gc", "cct")), "ir": (ix.in_region, ("ir",)), "lc": (ix.local_clustering, ("lc",))}
 for name, (path, kinds) in PATHS.items():

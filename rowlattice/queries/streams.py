@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from rowlattice.queries import query
@@ -24,12 +22,11 @@ def _log(s, sf, files=4):
 
 
 def _counter(s, sf):
-    place = _log(s, sf)
-    name = f"c{uuid.uuid4().hex}"
+    place, out = _log(s, sf), _work(s, "counts")
     stream = ingest.follow(s, place, event_cells(s, sf).schema, 1).filter("type = 0")
-    q = ingest.counters(stream, ["family", "qualifier"], "value").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", _work(s, "state")).trigger(availableNow=True).start()
+    q = ingest.counters(stream, ["family", "qualifier"], "value").writeStream.outputMode("complete").option("checkpointLocation", _work(s, "state")).trigger(availableNow=True).foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(out)).start()
     q.awaitTermination()
-    return s.table(name)
+    return s.read.parquet(out)
 
 
 query("stream_counter", _counter, """SELECT CASE WHEN event_type IN ('click', 'view') THEN 'a' ELSE 'b' END AS family, event_type AS qualifier, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS value, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY ALL""")
