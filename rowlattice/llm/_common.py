@@ -20,18 +20,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or the one set since. Only a local session may lack it; it then gets a temporary folder."""
+    """The folder in spark.checkpoint.dir, or the context's. Only a local session may lack both; it then gets a temporary folder."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where:
+        return where.rstrip("/")
     sc = spark.sparkContext
     now = sc._jsc.sc().getCheckpointDir()
     if now.isDefined():
         return now.get()
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="rowlattice-checkpoint-")
-    sc.setCheckpointDir(where)
-    return sc._jsc.sc().getCheckpointDir().get()
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return _local.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="rowlattice-checkpoint-"))
+
+
+def new_place(spark: SparkSession) -> str:
+    """A new path in the session's own folder there, which is deleted when the program ends."""
+    key = spark.sparkContext.applicationId
+    if key not in _folders:
+        _folders[key] = f"{shared_folder(spark)}/rowlattice-{uuid.uuid4().hex}"
+        atexit.register(clear, spark)
+    return f"{_folders[key]}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -42,27 +50,20 @@ def cut(df: DataFrame) -> DataFrame:
     constraints along, which grow with every join of a loop. The tables of a
     session go when it ends, or with clear().
     """
-    place = f"{_own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    place = new_place(df.sparkSession)
     df.write.parquet(place)
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
-def _own_folder(spark: SparkSession) -> str:
-    where = f"{shared_folder(spark)}/rowlattice"
-    if where not in _folders:
-        _folders.append(where)
-        atexit.register(clear, spark, where)
-    return where
-
-
-def clear(spark: SparkSession, where: str | None = None) -> None:
+def clear(spark: SparkSession) -> None:
     """Delete the tables that cut() wrote; DataFrames built on them can't be read afterwards."""
     with contextlib.suppress(Exception):  # the session may have ended
-        path = spark._jvm.org.apache.hadoop.fs.Path(where or _own_folder(spark))
+        path = spark._jvm.org.apache.hadoop.fs.Path(_folders.pop(spark.sparkContext.applicationId))
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-_folders: list[str] = []
+_folders: dict[str, str] = {}
+_local: dict[str, str] = {}
 
 
 def attach_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, n_rows: int, spread: str) -> DataFrame:

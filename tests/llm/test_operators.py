@@ -491,7 +491,7 @@ def brute_targets(sizes, weights=(1, 2, 3), cap=3):
 def test_targets(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 4)  # several ranges of sources
     rnd = np.random.default_rng(6)
-    for sizes in ({"a": 100, "b": 100, "c": 100, None: 10}, {"a": 0}, {}, {f"é{i}" if i % 2 else f"s{i}": int(rnd.integers(0, 10) ** 3) for i in range(30)}):
+    for sizes in ({"a": 100, "b": 100, "c": 100, None: 10}, {"a": 0}, {f"é{i}" if i % 2 else f"s{i}": int(rnd.integers(0, 10) ** 3) for i in range(30)}):
         d = spark.createDataFrame(list(sizes.items()), "source string, words long")
         got = {r["source"]: r["target"] for r in mixing.with_targets(d).collect()}
         assert got == pytest.approx(brute_targets(sizes))
@@ -527,15 +527,17 @@ def test_mixing_long_documents_in_a_hot_source(spark):
         assert abs(sum(r["taken"] for r in got if r["source"] == s) / target[s] - 1) < 0.01
 
 
-@pytest.mark.parametrize("share", [0.0005, 0.08, 0.5, 2.999])
-def test_mixing_tilts_meet_targets(spark, share):
-    hist = [("a", 1, 1_000_000), ("a", 10_000_000, 3), ("b", 300, 300_000), ("b", 1_000_000, 30), ("all", 1, 5), ("all", 1_000_000, 1)]
+def test_mixing_tilts_meet_targets(spark):
+    hist, goal = [("all", 1, 5), ("all", 1_000_000, 1)], {"all": 3}
+    for share in (0.0005, 0.08, 0.5, 2.999):
+        hist += [(f"a{share}", 1, 1_000_000), (f"a{share}", 10_000_000, 3), (f"b{share}", 300, 300_000), (f"b{share}", 1_000_000, 30)]
+        goal |= {f"a{share}": share, f"b{share}": share}
     sizes, squares = Counter(), Counter()
     for s, size, n in hist:
         sizes[s] += size * n
         squares[s] += size * size * n
     units = {s: squares[s] / sizes[s] for s in sizes}
-    goal = {s: (3 if s == "all" else share) * sizes[s] for s in sizes}
+    goal = {s: share * sizes[s] for s, share in goal.items()}
     known = spark.createDataFrame([(s, sizes[s], units[s], float(goal[s]), 2) for s in sizes], "source string, words long, unit double, target double, rows_of long")
     tilt = {r["source"]: r["tilt"] for r in mixing.solve(spark.createDataFrame(hist, "source string, size long, n long"), known).collect()}
     rate = lambda s, size: round(min(3.0, np.exp(min(tilt[s] * size / units[s], 3))) * mixing.ONE) / mixing.ONE
