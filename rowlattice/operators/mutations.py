@@ -44,6 +44,17 @@ def check_and(cells: DataFrame, condition: Column, family: str, qualifier: str,
     return changes.join(now, F.col("row") == F.col("__r"), "left").withColumn("current", F.col("value__now")).filter(F.coalesce(condition, F.lit(False))).select(*changes.columns)
 
 
+def process_rows(cells: DataFrame, rows: DataFrame, make, seq: int) -> DataFrame:
+    """Read-modify-write of whole rows: make(newest cells of the rows) gives changes ((kind, rows) pairs, as of mutate_rows), which come as one set of cells.
+
+    rows has row. A change of a row that isn't listed is left out, so each row
+    changes by what was read of it alone.
+    """
+    keys = rows.select(F.col("row").alias("__r")).distinct()
+    mine = lambda df: df.join(keys, F.col("row") == F.col("__r"), "left_semi")
+    return mutate_rows([(kind, mine(changed)) for kind, changed in make(resolve(mine(cells)))], seq)
+
+
 def increments(cells: DataFrame) -> DataFrame:
     """row, family, qualifier, value: the sum of all added numbers; order doesn't matter."""
     return cells.groupBy("row", "family", "qualifier").agg(F.sum(F.col("value").cast("long")).alias("value"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import json
 from typing import Any
+from urllib.parse import unquote
 
 from rowlattice.operators import filters as f
 from rowlattice.operators import predicates as p
@@ -40,6 +41,36 @@ def scan_of(options: dict[str, Any]) -> Scan:
     )
 
 
+def scan_of_path(path: str) -> Scan:
+    """A scan of a path: /row, /start,end or /prefix*, then /column,column (family or family:qualifier), then /end or /start,end of timestamps, then ?m=versions&n=cells of a row."""
+    path, _, query = path.lstrip("/").partition("?")
+    parts = [p for p in path.split("/")]
+    if not parts[0] or len(parts) > 3:
+        raise ValueError("a row, columns and timestamps are asked for")
+    start, comma, stop = (unquote(x) for x in parts[0].partition(","))
+    if start.endswith("*") and comma:
+        raise ValueError("a row range has no wildcard")
+    names = [unquote(n) for n in parts[1].split(",") if n] if len(parts) > 1 else []
+    stamps = [int(x) for x in parts[2].split(",")] if len(parts) > 2 and parts[2] else []
+    options = dict(pair.split("=", 1) for pair in query.split("&")) if query else {}
+    if len(stamps) > 2 or set(options) - {"m", "n"}:
+        raise ValueError("timestamps are one or two, parameters m or n")
+    if start.endswith("*"):
+        rows = {"prefix": start[:-1]}
+    elif comma:
+        rows = {"start": start, "stop": stop or None}
+    else:
+        rows = {"start": start, "stop": start, "include_stop": True}
+    return Scan(
+        **rows,
+        families=tuple(n for n in names if ":" not in n),
+        columns=tuple(tuple(n.split(":", 1)) for n in names if ":" in n),
+        time_range=(0, stamps[0]) if len(stamps) == 1 else tuple(stamps) or None,
+        max_versions=int(options.get("m", 1)),
+        filter=f.ColumnCountGetFilter(int(options["n"])) if "n" in options else None,
+    )
+
+
 def _text(value: str) -> str:
     return base64.b64decode(value).decode()
 

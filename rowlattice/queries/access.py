@@ -13,7 +13,8 @@ from rowlattice.operators.aggregates import histogram, value_histogram
 from rowlattice.operators.joins import difference, floor_lookup, intersect_keys, minus_keys, overlapping, union_keys
 from rowlattice.operators.predicates import ColumnRange, conjunction, parse_ranges
 from rowlattice.plans.chooser import Statistics, choose
-from rowlattice.plans.jobs import hash_batches, sync
+from rowlattice.plans.indexsql import run_select
+from rowlattice.plans.jobs import hash_batches, sync, sync_batches
 from rowlattice.queries import query
 from rowlattice.sources.orders import BITS, INDEXED, orders, scaled
 from rowlattice.sources.places import shared_place
@@ -88,6 +89,8 @@ query("idx_udl_cover", lambda s, sf: ix.user_defined(stored(s, sf, "udl", coveri
 query("idx_unindexed_residual", lambda s, sf: ix.global_secondary(stored(s, sf, "gs"), [*parse_ranges(filter_text("s10")), ColumnRange("ck", "<", 500)]), select("s10") + " AND ck < 500")
 query("idx_strict_bounds", lambda s, sf: ix.global_secondary(stored(s, sf, "gs"), [ColumnRange("t", ">", 1000000, "<", 9000000), ColumnRange("p", ">", 1)]), f"WITH {ORDERS_SQL} SELECT * FROM orders_w WHERE t > 1000000 AND t < 9000000 AND p > 1")
 query("idx_disjunction", lambda s, sf: ix.disjunction(stored(s, sf, "gs"), [parse_ranges(filter_text("s1")), [ColumnRange("t", "<", 3000000), ColumnRange("p", "=", 1)]], ix.global_secondary), f"WITH {ORDERS_SQL} SELECT * FROM orders_w WHERE ({where('s1')}) OR (t < 3000000 AND p = 1)")
+_SELECT = "select row, t, st from orders where (t between 1000000 and 9000000 and d >= 19990101 or p = 1 and t < 3000000) and st <> 'P'"
+query("idx_small_sql", lambda s, sf: run_select(_SELECT, {"orders": stored(s, sf, "gc", "cct")}), f"""WITH {ORDERS_SQL} SELECT "row", t, st FROM orders_w WHERE (t BETWEEN 1000000 AND 9000000 AND d >= 19990101 OR p = 1 AND t < 3000000) AND st <> 'P'""")
 query("scan_ne", lambda s, sf: ix.global_secondary(stored(s, sf, "gs"), [ColumnRange("p", "!=", 3), ColumnRange("t", "<=", 9000000)]), f"WITH {ORDERS_SQL} SELECT * FROM orders_w WHERE p <> 3 AND t <= 9000000")
 
 
@@ -197,6 +200,9 @@ _SIDES = f"""{ORDERS_SQL}, a AS (SELECT "row" r, t v FROM orders_w WHERE NOT t B
 _COUNTS = "count(*) FILTER (a.r IS NOT NULL AND b.r IS NULL) AS target_missing, count(*) FILTER (a.r IS NULL AND b.r IS NOT NULL) AS source_missing, count(*) FILTER (a.v <> b.v) AS different"
 query("sync_diff", lambda s, sf: difference(*_two_sides(s, sf), ["row"], "v"), f"WITH {_SIDES} SELECT count(*) FILTER (a.v = b.v) AS matching, {_COUNTS} FROM a FULL JOIN b ON a.r = b.r")
 query("sync_by_hash", lambda s, sf: sync(*_two_sides(s, sf), ["row"], "v", F.floor(F.col("row") / 100)).drop("matching"), f"WITH {_SIDES} SELECT {_COUNTS} FROM a FULL JOIN b ON a.r = b.r")
+query("sync_batches", lambda s, sf: sync_batches(*_two_sides(s, sf), ["row"], "v", F.floor(F.col("row") / 100)), f"""WITH {_SIDES}, m AS (SELECT coalesce(a.r, b.r) // 100 AS k, a.v IS NOT DISTINCT FROM b.v AND a.r IS NOT NULL AND b.r IS NOT NULL AS same, a.r IS NOT NULL AS ia, b.r IS NOT NULL AS ib FROM a FULL JOIN b ON a.r = b.r),
+    g AS (SELECT k, bool_and(same) AS same, bool_or(ia) AS ia, bool_or(ib) AS ib FROM m GROUP BY k)
+    SELECT count(*) AS batches, count(*) FILTER (same) AS hashes_matched, count(*) FILTER (NOT same AND ia AND ib) AS hashes_not_matched, count(*) FILTER (NOT ia) AS source_empty, count(*) FILTER (NOT ib) AS target_empty FROM g""")
 query("hash_batches", lambda s, sf: hash_batches(orders(s, sf), F.floor(F.col("row") / 500), ["row", "t"]), f"""WITH {ORDERS_SQL} SELECT CAST(floor("row" / 500.0) AS BIGINT) AS batch, count(*) AS n, CAST(sum(CAST(('0x' || substr(md5("row" || chr(31) || t), 1, 16)) AS UBIGINT)) AS VARCHAR) || ':' || CAST(sum(CAST(('0x' || substr(md5("row" || chr(31) || t), 17, 16)) AS UBIGINT)) AS VARCHAR) AS digest FROM orders_w GROUP BY 1""")
 
 # ---- statistics ----

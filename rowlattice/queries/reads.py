@@ -127,8 +127,41 @@ query("nested_rows", lambda s, sf: nested(resolve(event_cells(s, sf), 2)).select
 query("regions", lambda s, sf: with_region(event_cells(s, sf, False), ["000050", "000100"]).groupBy("region").agg(F.countDistinct("row").alias("rows")), f"WITH {CELLS_SQL} SELECT CASE WHEN \"row\" >= '000100' THEN 2 WHEN \"row\" >= '000050' THEN 1 ELSE 0 END AS region, count(DISTINCT \"row\") AS rows FROM cells WHERE type = 0 GROUP BY 1")
 
 # ---- scans from plain data ----
-from rowlattice.plans.scanspec import filter_of, scan_of  # noqa: E402
+from rowlattice.plans.scanspec import filter_of, scan_of, scan_of_path  # noqa: E402
 
 query("shell_scan", lambda s, sf: table(s, sf).scan(scan_of({"STARTROW": "000020", "STOPROW": "000060", "COLUMNS": ["a", "b:signup"], "VERSIONS": 2, "TIMERANGE": [3, 20], "FILTER": "QualifierFilter(!=, 'binary:click')"})).select(*OUT), ranked_sql("\"row\" >= '000020' AND \"row\" < '000060' AND (family = 'a' OR qualifier = 'signup') AND ts >= 3 AND ts < 20 AND qualifier <> 'click'", 2))
 _JSON = '{"type": "FilterList", "op": "MUST_PASS_ONE", "filters": [{"type": "PrefixFilter", "value": "MDAwMDE="}, {"type": "FilterList", "op": "MUST_PASS_ALL", "filters": [{"type": "QualifierFilter", "op": "EQUAL", "comparator": {"type": "BinaryComparator", "value": "dmlldw=="}}, {"type": "TimestampsFilter", "timestamps": [2, 5]}]}]}'
 query("json_filter", lambda s, sf: filter_of(_JSON).apply(event_cells(s, sf, False)).select(*OUT), f"WITH {CELLS_SQL} SELECT {COLS} FROM cells WHERE type = 0 AND (starts_with(\"row\", '00001') OR (qualifier = 'view' AND ts IN (2, 5)))")
+query("path_scan", lambda s, sf: table(s, sf).scan(scan_of_path("/000020,000060/a,b:signup/3,20?m=2")).select(*OUT), ranked_sql("\"row\" >= '000020' AND \"row\" < '000060' AND (family = 'a' OR (family = 'b' AND qualifier = 'signup')) AND ts >= 3 AND ts < 20", 2))
+
+
+def _process_rows(s, sf):
+    """Rows with more clicks than views get their difference, and lose their views."""
+    puts = event_cells(s, sf, False)
+
+    def make(now):
+        per = now.filter("family = 'a'").groupBy("row").agg(F.sum(F.when(F.col("qualifier") == "click", F.col("value"))).alias("c"), F.sum(F.when(F.col("qualifier") == "view", F.col("value"))).alias("v")).filter("c > v")
+        new = per.select("row", F.lit("a").alias("family"), F.lit("more").alias("qualifier"), F.lit(2**62).cast("long").alias("ts"), (F.col("c") - F.col("v")).alias("value"))
+        return [("put", new), ("column", new.drop("value").withColumn("qualifier", F.lit("view")))]
+
+    changes = mutations.process_rows(puts, puts.select("row"), make, 10**9)
+    return resolve(puts.unionByName(changes.withColumn("value", F.col("value").cast("long")))).select("row", "family", "qualifier", "value")
+
+
+query("process_rows", _process_rows, f"""WITH {_LATEST}, x AS (SELECT "row", max(value) FILTER (qualifier = 'click') - max(value) FILTER (qualifier = 'view') AS more FROM l WHERE family = 'a' GROUP BY 1 HAVING more > 0)
+    SELECT "row", family, qualifier, value FROM l WHERE NOT (family = 'a' AND qualifier = 'view' AND "row" IN (SELECT "row" FROM x)) UNION ALL SELECT "row", 'a', 'more', more FROM x""")
+
+
+def _loaded(s, sf):
+    """A bulk load, a snapshot of it, and both read as one input."""
+    from rowlattice.sources.places import shared_place
+    from rowlattice.sources.tables import bulk_load, snapshot
+
+    place = shared_place(s, "bulk")
+    bulk_load(event_cells(s, sf), place, 4)
+    copy = snapshot(s, place, "one")
+    both = s.read.parquet(place).unionByName(s.read.parquet(copy))
+    return both.groupBy("row", "family").agg(F.count("*").alias("cells"), F.min("ts").alias("first"))
+
+
+query("bulk_load_snapshot", _loaded, f'WITH {CELLS_SQL} SELECT "row", family, 2 * count(*) AS cells, min(ts) AS first FROM cells GROUP BY ALL')

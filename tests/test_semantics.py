@@ -296,6 +296,28 @@ def test_custom_aggregate(spark):
     assert made.first()["result"] == 479001600
 
 
+def test_small_sql():
+    from rowlattice.plans.indexsql import parse_select
+
+    s = parse_select("SELECT a, f:b FROM t WHERE a < 'it''s' AND (b >= -2 OR c = 1.5);")
+    assert (s.columns, s.table, [[r.qualifier for r in g] for g in s.groups]) == (["a", "f:b"], "t", [["a", "b"], ["a", "c"]])
+    assert parse_select("select * from t").columns is None
+    for bad in ("select a", "select from t", "select a from t where", "select a from t where a like 'x'", "select a from t where (a = 1", "select a from t a = 1", "select a from t where a = 1 b"):
+        with pytest.raises(ValueError):
+            parse_select(bad)
+
+
+def test_paths():
+    from rowlattice.plans.scanspec import scan_of_path
+
+    s = scan_of_path("/r%2F1/f:a,g/5?m=3&n=2")
+    assert (s.start, s.stop, s.include_stop, s.columns, s.families, s.time_range, s.max_versions, s.filter.n) == ("r/1", "r/1", True, (("f", "a"),), ("g",), (0, 5), 3, 2)
+    assert scan_of_path("ab*").prefix == "ab" and scan_of_path("a,").stop is None
+    for bad in ("/", "/a*,b", "/a/f/1,2,3", "/a/f/x", "/a?z=1", "/a/b/1/2"):
+        with pytest.raises(ValueError):
+            scan_of_path(bad)
+
+
 def test_chooser(spark, sf):
     stats = Statistics.of(orders(spark, sf), INDEXED, 100)
     assert choose(stats, parse_ranges(filter_text("s01")), {"gc"}).path == "gc"
