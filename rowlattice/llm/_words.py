@@ -3,7 +3,9 @@
 A word is a run of bytes other than space, tab, line feed, vertical tab, form
 feed and carriage return. Words have 64-bit hashes: a polynomial over random
 values of the bytes, modulo 2**64, then mixed. Two words of a corpus of n
-different ones share a hash with a chance of about n * n / 2**65.
+different ones share a hash with a chance of about n * n / 2**65. A block holds
+about a hundred bytes for each byte of text, so a worker's memory follows the
+longest text once that is longer than a block.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ _MIX = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 BLOCK_BYTES = 1_000_000
+KEPT_BYTES = 8 * BLOCK_BYTES
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -34,7 +37,8 @@ def _power(which: str, n: int) -> np.ndarray:
         have[0] = 1
         have[1:] = base
         np.multiply.accumulate(have, out=have)
-        _powers[which] = have
+        if n <= KEPT_BYTES:  # those of a very long text go with it
+            _powers[which] = have
     return have[:n]
 
 
