@@ -279,6 +279,27 @@ def frequent_labels(lists: DataFrame, prefixed: DataFrame, sets: DataFrame, link
     return merged(labels, cut(block_links(placed, sets, percent)))
 
 
+def _dealt(rows: DataFrame, sets: DataFrame, columns: list[str], percent: int, left: int, right: int) -> DataFrame:
+    """cluster, band, l, r, side, id, columns, hashes: each row once for every block that it meets, in order of block, then side.
+
+    rows: id, n, cluster, banded, outside, columns. Side 0 has the rows outside,
+    in blocks of about `left`; side 1 has all, in blocks of about `right`.
+    """
+    band = F.when(F.col("banded"), F.floor(F.log(F.col("n").cast("double")) / (1.0001 * math.log(100 / percent)))).otherwise(0).cast("int")
+    role = lambda b, side: F.struct(b.cast("int").alias("band"), F.lit(side).alias("side"))
+    none = F.array().cast("array<struct<band:int,side:int>>")
+    roles = F.concat(F.when(F.col("outside"), F.array(role(band, 0))).otherwise(none), F.when(F.col("banded"), F.array(*[role(band + k, 1) for k in (-1, 0, 1)])).otherwise(F.array(role(band, 1))))
+    dealt = cut(rows.select("id", "cluster", *columns, F.explode(roles).alias("role")).select("id", "cluster", *columns, "role.*"))
+    facts = cut(dealt.groupBy(F.col("cluster").alias("__c"), F.col("band").alias("__b")).agg(F.ceil(F.sum(1 - F.col("side")) / left).cast("long").alias("nl"), F.ceil(F.sum("side") / right).cast("long").alias("nr")).filter("nl > 0"))
+    dealt = dealt.join(small_side(facts, facts.count()), (F.col("cluster") == F.col("__c")) & (F.col("band") == F.col("__b")))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    meets = F.when(F.col("side") == 0, F.transform(every("nr"), lambda r: F.struct(block("nl").alias("l"), r.alias("r")))).otherwise(F.transform(every("nl"), lambda l: F.struct(l.alias("l"), block("nr").alias("r"))))
+    dealt = dealt.join(sets.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id")).withColumn("meet", F.explode(meets))
+    keys = ["cluster", "band", "l", "r"]
+    return dealt.select("cluster", "band", "meet.l", "meet.r", "side", "id", *columns, "hashes").repartition(*keys).sortWithinPartitions(*keys, "side")
+
+
 def block_links(placed: DataFrame, sets: DataFrame, percent: int, left: int = 256, right: int = 1024, banded: int = 8192) -> DataFrame:
     """a, b: links that join the different components of each cluster (placed: id, n, component, cluster, ell, prefix).
 
@@ -294,18 +315,7 @@ def block_links(placed: DataFrame, sets: DataFrame, percent: int, left: int = 25
     parts = placed.groupBy("cluster", "component").agg(F.count("*").alias("k"))
     mains = cut(parts.groupBy("cluster").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("size"), F.max("k").alias("most")).filter("size > most").select(F.col("cluster").alias("__c"), "main", (F.col("size") > banded).alias("banded")))
     rows = placed.join(small_side(mains, mains.count()), F.col("cluster") == F.col("__c")).withColumn("main", F.col("component") == F.col("main"))
-    band = F.when(F.col("banded"), F.floor(F.log(F.col("n").cast("double")) / (1.0001 * math.log(100 / percent)))).otherwise(0).cast("int")
-    role = lambda b, side: F.struct(b.cast("int").alias("band"), F.lit(side).alias("side"))
-    roles = F.concat(F.when(F.col("main"), F.array().cast("array<struct<band:int,side:int>>")).otherwise(F.array(role(band, 0))), F.when(F.col("banded"), F.array(*[role(band + k, 1) for k in (-1, 0, 1)])).otherwise(F.array(role(band, 1))))
-    dealt = cut(rows.select("id", "cluster", "component", "main", "ell", "prefix", F.explode(roles).alias("role")).select("id", "cluster", "component", "main", "ell", "prefix", "role.*"))
-    facts = cut(dealt.groupBy(F.col("cluster").alias("__c"), F.col("band").alias("__b")).agg(F.ceil(F.sum(1 - F.col("side")) / left).cast("long").alias("nl"), F.ceil(F.sum("side") / right).cast("long").alias("nr")).filter("nl > 0"))
-    dealt = dealt.join(small_side(facts, facts.count()), (F.col("cluster") == F.col("__c")) & (F.col("band") == F.col("__b")))
-    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
-    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    meets = F.when(F.col("side") == 0, F.transform(every("nr"), lambda r: F.struct(block("nl").alias("l"), r.alias("r")))).otherwise(F.transform(every("nl"), lambda l: F.struct(l.alias("l"), block("nr").alias("r"))))
-    dealt = dealt.join(sets.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id")).withColumn("meet", F.explode(meets))
-    keys = ["cluster", "band", "l", "r"]
-    dealt = dealt.select("cluster", "band", "meet.l", "meet.r", "side", "id", "component", "main", "ell", "prefix", "hashes").repartition(*keys).sortWithinPartitions(*keys, "side")
+    dealt = _dealt(rows.withColumn("outside", ~F.col("main")), sets, ["component", "main", "ell", "prefix"], percent, left, right)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, parts_, ells, pres, held, index = None, [], [], [], [], [], None
@@ -352,6 +362,48 @@ def block_links(placed: DataFrame, sets: DataFrame, percent: int, left: int = 25
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def block_counts(placed: DataFrame, sets: DataFrame, percent: int, left: int = 256, right: int = 1024, banded: int = 8192) -> DataFrame:
+    """id, n: how many documents (column m of each node) link with each of a cluster's, by pairs that share no shingle of short lists.
+
+    placed: id, n, cluster, ell, prefix, rare (its shingles of short lists), m.
+    A task sums for each id before it gives anything out.
+    """
+    sizes = cut(placed.groupBy(F.col("cluster").alias("__c")).agg((F.count("*") > banded).alias("banded")))
+    rows = placed.join(small_side(sizes, sizes.count()), F.col("cluster") == F.col("__c")).withColumn("outside", F.lit(True))
+    dealt = _dealt(rows, sets, ["ell", "m", "prefix", "rare"], percent, left, right)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, index, total = None, [], None, {}
+        for batch in batches:
+            lists = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in (batch.column(8), batch.column(9))]
+            for row, (*where, side, i, ell, m) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True)):
+                if where != key:
+                    key, held, index = where, [], None
+                pre, rare = (flat[at[row] : at[row + 1]] for at, flat in lists)
+                whole = np.frombuffer(batch.column(10)[row].as_buffer(), np.uint64)
+                if side == 0:
+                    held.append((i, ell, m, np.array(pre), np.array(rare), np.array(whole)))
+                    continue
+                if not held:
+                    continue
+                if index is None:
+                    ids, ells, ms, pres, rares, wholes = zip(*held, strict=True)
+                    index = np.asarray(ids), np.asarray(ells), np.asarray(ms), _Lists(pres), _Lists(rares), _Lists(wholes), np.fromiter(map(len, wholes), np.int64, len(ids))
+                ids, ells, ms, by_prefix, by_rare, by_whole, sizes_ = index
+                maybe = (ids < i) & (by_prefix.common(pre) >= np.minimum(ells, ell))
+                if not maybe.any():
+                    continue
+                common = by_whole.common(whole)
+                hit = np.flatnonzero(maybe & (by_rare.common(rare) == 0) & (100 * common >= percent * (sizes_ + len(whole) - common)))
+                if len(hit):
+                    total[i] = total.get(i, 0) + int(ms[hit].sum())
+                    for x in ids[hit].tolist():
+                        total[x] = total.get(x, 0) + m
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["id", "n"])
+
+    return dealt.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+
+
 class _Lists:
     """Inverted lists of some arrays of distinct numbers."""
 
@@ -369,17 +421,8 @@ class _Lists:
         return np.bincount(self.of[at], minlength=self.n)
 
 
-def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id: a row for each row of docs.
-
-    A-Z are lower-cased; a document's set has its distinct shingles of `size`
-    words, or its whole sequence if it has fewer. Documents link when 100 times
-    the intersection is at least `percent` times the union. component_id is the
-    smallest doc_id that links reach. A null text, an empty one, or one without
-    words has no shingles and only itself. Rows that repeat a doc_id are each a
-    row. Other columns are not read. An empty table gives an empty table.
-    """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _verified_links(docs: DataFrame, size: int, percent: int):
+    """For docs (doc_id, text): prefixes of its rows, its distinct sets (nodes), their long and short lists, the nodes in long lists (None if there are none), whole sets, and the links that short lists show."""
     small_batches(docs.sparkSession)
     counted = cut(frequent_shingles(docs, size, percent).filter(F.col("n") > LONG))
     least = LONG + 1
@@ -401,7 +444,24 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     repeated = not rows.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").isEmpty()
     sets = cut(sets.dropDuplicates(["id"]) if repeated else sets)
     links = cut(verified(pairs, sets, percent))
-    if many:
+    return rows, nodes, met, often_met if many else None, sets, links
+
+
+def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id: a row for each row of docs.
+
+    A-Z are lower-cased; a document's set has its distinct shingles of `size`
+    words, or its whole sequence if it has fewer. Documents link when 100 times
+    the intersection is at least `percent` times the union. component_id is the
+    smallest doc_id that links reach. A null text, an empty one, or one without
+    words has no shingles and only itself. Rows that repeat a doc_id are each a
+    row. Other columns are not read. An empty table gives an empty table.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows, nodes, met, often_met, sets, links = _verified_links(docs, size, percent)
+    keys = ["n", "fp1", "fp2"]
+    filled = rows.filter("n > 0")
+    if often_met is not None:
         prefixed = nodes.join(often_met.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id"), "left_semi").select("id", "ell", F.concat("light", "heavy").alias("prefix"))
         label = frequent_labels(cut(met.filter(F.col("n_t") > LONG).select("id", "n", "token")), prefixed, sets, links, percent)
     else:
@@ -413,6 +473,32 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def link_counts(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_links: with how many other rows each row of docs links, as near_groups has it; rows with equal sets link too.
+
+    Pairs of long lists are counted in blocks, whose work is the square of a
+    cluster's size in a band of sizes; nothing but counts comes out.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows, nodes, met, often_met, sets, links = _verified_links(docs, size, percent)
+    keys = ["n", "fp1", "fp2"]
+    members = cut(rows.filter("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("id"), F.count("*").alias("m")))
+    m_of = members.filter("id IS NOT NULL").select(F.col("id").alias("__id"), "m")
+    ends = links.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("other")))
+    counted = ends.join(m_of, F.col("other") == F.col("__id")).groupBy("id").agg(F.sum("m").alias("k"))
+    if often_met is not None:
+        long = met.filter(F.col("n_t") > LONG)
+        heads = _heads(long.withColumn("component", F.col("id")), 0, long.count()).filter("hid <> id")
+        rare = met.filter(F.col("n_t") <= LONG).groupBy(F.col("id").alias("__r")).agg(F.collect_set("token").alias("rare"))
+        placed = nodes.join(often_met.withColumnRenamed("id", "__o"), F.col("id") == F.col("__o"), "left_semi").select("id", "n", "ell", F.concat("light", "heavy").alias("prefix"))
+        placed = placed.join(rare, F.col("id") == F.col("__r"), "left").withColumn("rare", F.coalesce("rare", F.array().cast("array<bigint>"))).join(m_of, F.col("id") == F.col("__id")).drop("__r", "__id")
+        placed = labelled(placed, components(cut(heads.select(F.col("hid").alias("a"), F.col("id").alias("b")).distinct())), "id", "cluster")
+        counted = counted.unionByName(block_counts(cut(placed), sets, percent).withColumnRenamed("n", "k")).groupBy("id").agg(F.sum("k").alias("k"))
+    per = members.join(counted.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id"), "left").select(*keys, "m", (F.col("m") - 1 + F.coalesce("k", F.lit(0))).alias("n_links"))
+    out = attach_groups(rows.select("doc_id", *keys), cut(per), keys, "m", rows.count(), "doc_id")
+    return out.select("doc_id", F.when(F.col("n") > 0, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
+
+
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that have the smallest doc_id of their group, with all their columns; of rows that repeat a doc_id and a text one stays. Rows without a doc_id stay."""
     groups = cut(near_groups(docs, **options).select("doc_id", "component_id"))

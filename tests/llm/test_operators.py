@@ -701,9 +701,8 @@ def brute_components(texts, size, percent):
     return {d: (len(sets[d]), root(d)) for d in texts}
 
 
-@pytest.mark.parametrize("size,percent", [(4, 85), (5, 80), (2, 50)])
-def test_near_groups(spark, size, percent):
-    rnd = np.random.default_rng(size)
+def near_texts(seed):
+    rnd = np.random.default_rng(seed)
     base = [f"b{i}" for i in range(60)]
     texts = {}
     for i in range(120):  # chains of edits: a group far longer than a short list
@@ -717,11 +716,28 @@ def test_near_groups(spark, size, percent):
     for i in range(300, 340):
         texts[i] = " ".join(f"z{j}" for j in range(int(rnd.integers(0, 8))))
     texts |= {r[0] + 1000: r[1] for r in rows()}
-    d = spark.createDataFrame([(k, v) for k, v in texts.items()], "doc_id long, text string").repartition(5)
+    return texts
+
+
+@pytest.mark.parametrize("size,percent", [(4, 85), (5, 80), (2, 50)])
+def test_near_groups(spark, size, percent):
+    texts = near_texts(size)
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_groups(d, size, percent).collect()}
     assert got == brute_components(texts, size, percent)
 
 
+def test_links_are_counted(spark):
+    """Every link counts once for both ends, in lists of any length, and copies are links too."""
+    size, percent = 2, 60
+    texts = near_texts(3)
+    sets = {d: {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set() for d, t in texts.items() for w in [WORD.findall(lowered(t))]}
+    similar = lambda a, b: sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
+    want = {a: sum(bool(similar(a, b)) for b in texts if b != a) for a in texts}
+    got = {r["doc_id"]: r["n_links"] for r in jaccard.link_counts(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), size, percent).collect()}
+    assert got == want and max(want.values()) > 40
+
+
 def test_block_links_follow_the_input(spark):
     """A group of near copies gives one link for each component that a block meets, not one for each pair."""
     rnd = np.random.default_rng(8)
