@@ -44,8 +44,8 @@ def spread_of_lines(docs: DataFrame, least_sites: int = 3, id_col: str = "doc_id
     seen = lines_of(docs, id_col, text_col, site_col).select(*_keys(F.col("line")), "site")
     merged = seen.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(REGISTERS)).alias("sketch"), F.count("*").alias("n"))
     sites = F.hll_sketch_estimate("sketch").alias("sites")
-    # what is clearly below the limit is not written; estimates are whole numbers
-    met = cut(merged.select("h1", "h2", "n", sites).filter(F.col("sites") >= F.floor(F.lit(least_sites * (1 - MARGIN)))))
+    # what is clearly below the limit is not written; estimates are rounded to whole numbers
+    met = cut(merged.select("h1", "h2", "n", sites).filter(F.col("sites") + 0.5 >= least_sites * (1 - MARGIN)))
     clear = F.col("sites") > least_sites * (1 + MARGIN)
     return met.filter(clear), met.filter(~clear)
 
